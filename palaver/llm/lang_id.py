@@ -121,8 +121,10 @@ def train(docs: DataFrame) -> dict[str, list[int]]:
     return out
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text") -> DataFrame:
-    """Adds lang_pred and score to docs: 1 less the distance's share of the greatest distance, 0 for `und`."""
+def predict(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
+    """Adds lang_pred and score to docs: 1 less the distance's share of the greatest distance, 0 for `und`. Columns of docs with these names give way."""
+    frame = docs.select(*[(F.col("text").cast("string") if c == "text" else F.col(f"`{c}`")).alias(c) for c in docs.columns if c not in ("lang_pred", "score")])
+    text = frame.columns.index("text")
     names = sorted(profiles)
     model = np.unique(np.array([g for p in profiles.values() for g in p], np.int64).view(np.uint64))
     places = np.full((len(model) + 1, max(1, len(names))), -1, np.int64)
@@ -132,7 +134,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offsets = text_buffer(batch.column(0))
+            buf, offsets = text_buffer(batch.column(text))
             pred: list[str] = []
             score: list[float] = []
             for _, _, part, where in blocks(buf, offsets):
@@ -155,13 +157,10 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text")
                     k = int(far.argmin())
                     pred.append(names[k])
                     score.append(1.0 - float(far[k]) / (PROFILE * len(g)))
-            columns = [*batch.columns[1:], pa.array(pred, pa.string()), pa.array(score, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[1:], "lang_pred", "score"])
+            columns = [*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "lang_pred", "score"])
 
-    # columns named like the results give way
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    frame = docs.select(F.col(f"`{text}`").cast("string").alias("_palaver_text"), *[F.col(f"`{c}`") for c in kept])
-    return frame.mapInArrow(run, StructType([*frame.schema.fields[1:], StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return frame.mapInArrow(run, StructType([*frame.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def fold(modulus: int = 3, rest: int = 1) -> Column:
@@ -180,6 +179,7 @@ def keep_known(docs: DataFrame) -> DataFrame:
     """docs without those in no known language: no letters, or far from every profile. Columns stay."""
     names = docs.columns
     profiles = train(docs.where(~fold()))
-    marked = predict(docs.withColumnsRenamed({c: f"_palaver_in_{k}" for k, c in enumerate(names)}).withColumn("text", F.col(f"_palaver_in_{names.index('text')}")), profiles)
+    aside = {c: f"_palaver_in_{k}" for k, c in enumerate(names) if c in ("lang_pred", "score")}
+    marked = predict(docs.withColumnsRenamed(aside), profiles)
     good = marked.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= 1 - FARTHEST))
-    return good.select(*[F.col(f"_palaver_in_{k}").alias(c) for k, c in enumerate(names)])
+    return good.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in names])

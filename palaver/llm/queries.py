@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, html_main, lang_id, mixing, ngram_join, secret_scan, token_count, token_store
+from . import decontaminate, embed_dedup, html_main, lang_id, mixing, ngram_join, ppm_score, secret_scan, token_count, token_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,10 +24,18 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(_table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op5_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm_score.score(_table(spark, sf_dir, "documents"))
+
+
 def op6_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.link_embeddings(_table(spark, sf_dir, "embeddings"))
 
@@ -48,7 +56,7 @@ def op10_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_jaccard, op2_secret_scan, op4_token_store, op6_embed_dedup, op7_source_mixing, op8_token_count, op9_language_id, op10_html_main)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_jaccard, op2_secret_scan, op3_decontamination, op4_token_store, op5_ppm_score, op6_embed_dedup, op7_source_mixing, op8_token_count, op9_language_id, op10_html_main)}
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard": """
         WITH RECURSIVE w AS (
