@@ -118,7 +118,7 @@ def length_summary(corpus: DataFrame) -> DataFrame:
     measures = F.array(*[F.struct(F.lit(m).alias("measure"), v.cast("double").alias("v")) for m, v in (("characters_masked_text", F.char_length("text_masked")), ("tokens", F.size("tokens")))])
     counts = corpus.select(F.inline(measures)).groupBy("measure", "v").agg(F.count(F.lit(1)).alias("f"))
     q = lambda p: F.percentile("v", p, F.col("f"))
-    sums = counts.groupBy("measure").agg(F.sum("f").alias("n"), F.min("v").alias("min"), q(0.25).alias("q25"), q(0.5).alias("median"), q(0.75).alias("q75"), F.max("v").alias("max"), (F.sum(F.col("v") * F.col("f")) / F.sum("f")).alias("mean"))
+    sums = counts.groupBy("measure").agg(F.sum("f").alias("n"), F.min("v").alias("min"), q(0.25).alias("q25"), q(0.5).alias("median"), q(0.75).alias("q75"), F.max("v").alias("max"), F.bround(F.sum(F.col("v") * F.col("f")) / F.sum("f"), 2).alias("mean"))
     domain = corpus.sparkSession.createDataFrame([("characters_masked_text",), ("tokens",)], "measure string")
     return domain.join(sums, "measure", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
