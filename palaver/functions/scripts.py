@@ -26,25 +26,31 @@ def token_profile(token: Column) -> Column:
     return F.struct(label.alias("label"), latin.cast("long").alias("latin"), devanagari.cast("long").alias("devanagari"), other.cast("long").alias("other"))
 
 
-def message_profile(tokens: Column) -> Column:
-    """Counts of labels and letters, alternations between neighbouring labels, devanagari share, class and whether it is short."""
-    marked = F.filter(F.transform(F.filter(tokens, lambda t: ~t.isin(URL, PHONE)), token_profile), lambda p: p["label"].isNotNull())
+def lettered(tokens: Column) -> Column:
+    """The profiles of the tokens that have letters."""
+    return F.filter(F.transform(F.filter(tokens, lambda t: ~t.isin(URL, PHONE)), token_profile), lambda p: p["label"].isNotNull())
+
+
+def message_profile(marked: Column) -> Column:
+    """Counts of labels and letters, and alternations between neighbouring labels, of lettered()."""
     count = lambda name: F.size(F.filter(marked, lambda p: p["label"] == name)).cast("long")
     letters = lambda name: F.aggregate(marked, F.lit(0).cast("long"), lambda a, p: a + p[name])
     n = F.size(marked)
-    steps = F.filter(F.arrays_zip(F.slice(marked, 1, F.greatest(n - 1, F.lit(0))).alias("a"), F.slice(marked, 2, F.greatest(n - 1, F.lit(0))).alias("b")), lambda z: z["a"]["label"] != z["b"]["label"])
+    rest = F.greatest(n - 1, F.lit(0))
+    steps = F.zip_with(F.slice(marked, F.lit(1), rest), F.slice(marked, F.lit(2), rest), lambda a, b: a["label"] != b["label"])
     return F.struct(
         n.cast("long").alias("alphabetic_tokens"),
         *[count(k).alias(f"{k}_tokens") for k in ("latin", "devanagari", "other", "mixed_token")],
         *[letters(k).alias(f"{k}_letters") for k in ("latin", "devanagari", "other")],
-        F.when(n > 1, F.size(steps)).otherwise(0).cast("long").alias("alternations"),
+        F.when(n > 1, F.size(F.filter(steps, lambda x: x))).otherwise(0).cast("long").alias("alternations"),
     )
 
 
 def with_profile(df, tokens: str = "tokens"):
     """df with the profile's fields, devanagari_share (null without alphabetic tokens), message_class and is_short."""
-    df = df.withColumn("_p", message_profile(F.col(tokens)))
-    df = df.select("*", "_p.*").drop("_p")
+    # in steps, so that the tokens' profiles are worked out once and not once for each field
+    df = df.withColumn("_marked", lettered(F.col(tokens))).withColumn("_p", message_profile(F.col("_marked")))
+    df = df.select("*", "_p.*").drop("_p", "_marked")
     n = F.col("alphabetic_tokens")
     only = lambda script: F.col(f"{script}_tokens") == n
     kind = F.when(n == 0, "no_alphabetic").when(only("latin"), "latin_only").when(only("devanagari"), "devanagari_only").when(only("other"), "other_script_only").otherwise("mixed_script")
