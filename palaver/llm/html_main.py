@@ -188,6 +188,9 @@ def first_pass(b: Block) -> str:
 
 def second_pass(page: list[Block]) -> None:
     """Settle short and near-good blocks by their nearest decided neighbours; beyond the page's ends lies bad."""
+    if all(b.label != "good" for b in page):  # on a page of near-good text, that is the main text
+        for b in page:
+            b.label = "good" if b.label == "near" else b.label
     labels = [b.label for b in page]
     decided: list[list[str]] = []  # the nearest good or bad block on either side
     beside: list[list[str]] = []  # the nearest that isn't short on either side
@@ -206,10 +209,6 @@ def second_pass(page: list[Block]) -> None:
         elif labels[k] == "short":
             close = ["good" if beside[j][k] == "near" and "good" in sides else sides[j] for j in (0, 1)]
             b.label = "good" if close[1] == "good" and (b.heading or close[0] == "good") else "bad"
-    if "good" not in (b.label for b in page):  # a page of near-good text only
-        for k, b in enumerate(page):
-            if labels[k] == "near":
-                b.label = "good"
 
 
 def main_text(page: str) -> str:
