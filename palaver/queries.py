@@ -367,14 +367,14 @@ def metadata_counts(spark, sf_dir):
 _DAILY = f"{o.EVENTS}, full_days AS (SELECT cal.date, {o.WEEKDAY.replace('date)', 'cal.date)')} AS weekday, coalesce(text_messages, 0) AS text_messages, coalesce(media_rows, 0) AS media_rows, coalesce(deleted_rows, 0) AS deleted_rows, coalesce(system_rows, 0) AS system_rows FROM cal LEFT JOIN daily ON daily.date = cal.date), d2 AS (SELECT *, text_messages + media_rows + deleted_rows + system_rows AS total_rows FROM full_days)"
 
 
-@query(f"{_DAILY} SELECT *, total_rows > 0 AS is_active FROM d2")
+@query(f"{_DAILY} SELECT * REPLACE (CAST(date AS VARCHAR) AS date), total_rows > 0 AS is_active FROM d2")
 def daily_activity(spark, sf_dir):
-    return activity.daily_activity(_events(spark, sf_dir))
+    return activity.daily_activity(_events(spark, sf_dir)).withColumn("date", F.col("date").cast("string"))
 
 
-@query(f"{_DAILY} SELECT date, total_rows FROM d2 ORDER BY total_rows DESC, date LIMIT 1")
+@query(f"{_DAILY} SELECT CAST(date AS VARCHAR) AS date, total_rows FROM d2 ORDER BY total_rows DESC, date LIMIT 1")
 def busiest_date(spark, sf_dir):
-    return activity.busiest_date(activity.daily_activity(_events(spark, sf_dir))).select("date", "total_rows")
+    return activity.busiest_date(activity.daily_activity(_events(spark, sf_dir))).select(F.col("date").cast("string").alias("date"), "total_rows")
 
 
 @query(f"{o.EVENTS} SELECT h.h AS hour_as_exported, count(ev.kind) FILTER (message_type = 'user') AS user_rows, count(ev.kind) FILTER (message_type = 'system') AS system_rows FROM (SELECT CAST(range AS BIGINT) AS h FROM range(24)) h LEFT JOIN ev ON hour(ev.datetime) = h.h GROUP BY h.h")
