@@ -1,18 +1,27 @@
 """Encoding of whole texts with a public byte-level BPE of the tokenizers library.
 
 A byte-level BPE of this kind never merges over a space that stands alone between two other characters: there the next token always
-begins. Texts are therefore cut at such spaces, every distinct piece is encoded once by the library, and a document's ids are the
-pieces' ids in order. A process keeps the pieces it has met, up to CACHE of them; then it starts anew.
+begins, with that space; nor over a line feed that stands alone, nor from a letter or digit into the punctuation after it. Texts are therefore cut at such
+spaces and line feeds into pieces, every distinct piece is encoded once by the library (without the punctuation at its end, which is a piece of its own),
+and a document's ids are the pieces' ids in order. New pieces go to the library many in one string; since a piece holds no further space,
+the tokens that begin with a space tell them apart again. A process keeps the pieces it has met; beyond CACHE of them, those it has met again.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import chain, compress, repeat
+from operator import is_
 
 import numpy as np
 
-CACHE = 400_000
-#: Ids of a text that holds pieces with white space at an edge are cut by this rule instead of at every U+0020.
+CACHE = 1_000_000
+#: Pieces in one string for the library.
+TOGETHER = 256
+#: Punctuation that is split from the end of a piece. None of it ends a special token.
+TAIL = ".,;:!?*#%&$)"
+#: White space but U+0020: a text where one of these stands beside a space is cut by the pattern below instead of at every U+0020.
+_OTHER = [chr(c) for c in (0x0A, 0x09, 0x0D, 0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 _ALONE = re.compile(r"(?<=\S) (?=\S)")
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
@@ -23,6 +32,47 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+class _Pieces:
+    """Pieces met so far and their ids: number k of `known` has ids[ends[k - 1] : ends[k]]."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.ends = np.zeros(1 << 16, np.int64)
+        self.met = np.zeros(1 << 16, np.int32)
+
+    def of(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one after the other, and how many each has."""
+        begin = np.where(which > 0, self.ends[which - 1], 0)
+        size = self.ends[which] - begin
+        at = np.cumsum(size) - size
+        return self.ids[np.repeat(begin - at, size) + np.arange(int(size.sum()))], size
+
+    def seen(self, which: np.ndarray) -> None:
+        self.met[: len(self.known)] += np.bincount(which, minlength=len(self.known)) > 0
+
+    def again(self) -> _Pieces:
+        """Those that more than one run of texts had."""
+        names = list(self.known)
+        keep = np.flatnonzero(self.met[: len(names)] > 1)[: CACHE // 2]
+        out = _Pieces()
+        out.add([names[k] for k in keep], *self.of(keep))
+        out.met[: len(keep)] = 1
+        return out
+
+    def add(self, new: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.known)
+        begin = int(self.ends[n - 1]) if n else 0
+        while begin + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while n + len(new) > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+            self.met = np.concatenate([self.met, np.zeros_like(self.met)])
+        self.ids[begin : begin + len(ids)] = ids
+        self.ends[n : n + len(new)] = begin + np.cumsum(sizes)
+        self.known.update(zip(new, range(n, n + len(new)), strict=True))
+
+
 class Encoder:
     """literal: strings of special tokens in a text are ordinary text; else they are those tokens, as the library has it by default."""
 
@@ -33,54 +83,72 @@ class Encoder:
         self.library.encode_special_tokens = literal
         self.vocabulary = self.library.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.ends = np.zeros(1 << 16, np.int64)
-
-    def _learn(self, new: list[str]) -> None:
-        for a in range(0, len(new), 4096):
-            some = new[a : a + 4096]
-            for piece, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                ids, k = e.ids, len(self.known)
-                begin = int(self.ends[k - 1]) if k else 0
-                if begin + len(ids) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
-                if k >= len(self.ends):
-                    self.ends = np.concatenate([self.ends, np.zeros(len(self.ends), np.int64)])
-                self.ids[begin : begin + len(ids)] = ids
-                self.ends[k] = begin + len(ids)
-                self.known[piece] = k
+        self.opens = np.zeros(max(self.library.get_vocab().values(), default=0) + 1, bool)  # tokens that begin with a space
+        self.opens[[i for t, i in self.library.get_vocab().items() if t.startswith("Ġ")]] = True
+        self.pieces = _Pieces()
+
+    def _plain(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of strings, one by one."""
+        every = [e.ids for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, every), np.int64, len(every))
+        return np.fromiter(chain.from_iterable(every), np.uint32, int(sizes.sum())), sizes
+
+    def _learn(self, new: set[str]) -> None:
+        known, whole, split = self.pieces.known, set(), []
+        for p in new:
+            core = p.rstrip(TAIL)
+            if len(core) < len(p) and core and core[-1].isalnum():
+                split.append((p, core, p[len(core) :]))
+                whole.update(x for x in split[-1][1:] if x not in known)
+            else:
+                whole.add(p)
+        self._ask(sorted(whole))
+        left = sorted(x for x in split if x[0] not in known)
+        ids, size = self.pieces.of(np.fromiter((known[x] for s in left for x in s[1:]), np.int64, 2 * len(left)))
+        self.pieces.add([s[0] for s in left], ids, size.reshape(-1, 2).sum(axis=1))
+
+    def _ask(self, new: list[str]) -> None:
+        inner = [p for p in new if len(p) > 1 and p[0] == " " and " " not in p[1:]]
+        rest = [p for p in new if not (len(p) > 1 and p[0] == " " and " " not in p[1:])]
+        for a in range(0, len(inner), TOGETHER * 64):
+            some = inner[a : a + TOGETHER * 64]
+            lines = ["".join(some[b : b + TOGETHER]) for b in range(0, len(some), TOGETHER)]
+            ids, _ = self._plain(lines)
+            at = np.flatnonzero(self.opens[ids])
+            if len(at) == len(some) and (not len(at) or at[0] == 0):
+                self.pieces.add(some, ids, np.diff(np.append(at, len(ids))))
+            else:  # a special token among them took its space, or the like
+                self.pieces.add(some, *self._plain(some))
+        if rest:
+            self.pieces.add(rest, *self._plain(rest))
 
     @staticmethod
-    def pieces(text: str) -> list[str]:
-        """The text cut before every U+0020 that stands alone; each piece but the first begins with that space."""
-        cut = text.split(" ")
-        if "" in cut or any(p[0].isspace() or p[-1].isspace() for p in cut):
-            cut = _ALONE.split(text)
-        return [cut[0], *[" " + p for p in cut[1:]]]
+    def cut(text: str) -> list[str]:
+        """The text cut before every U+0020 and around every line feed that stand alone."""
+        if "  " in text or text[0].isspace() or text[-1].isspace() or "\x00" in text or any(f" {c}" in text or f"{c} " in text or f"{c}\n" in text or f"\n{c}" in text for c in _OTHER if c in text):
+            first, *rest = _ALONE.split(text)
+            return [first, *[" " + p for p in rest]]
+        return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
 
     def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other (unsigned 32-bit), each followed by `end` if given, and offsets (n + 1)."""
-        if len(self.known) > CACHE:
-            self._clear()
-        cut = [self.pieces(t) if t else [] for t in texts]
-        known = self.known
-        if new := {p for pieces in cut for p in pieces if p not in known}:
-            self._learn(sorted(new))
-        which = np.fromiter((known[p] for pieces in cut for p in pieces), np.int64, sum(map(len, cut)))
-        of = np.repeat(np.arange(len(texts)), [len(p) for p in cut])
-        begin = np.where(which > 0, self.ends[which - 1], 0)
-        size = self.ends[which] - begin
-        length = np.bincount(of, size, len(texts)).astype(np.int64) if len(texts) else np.zeros(0, np.int64)
-        at = np.concatenate([[0], np.cumsum(size)])
-        flat = self.ids[np.repeat(begin - at[:-1], size) + np.arange(at[-1])]
+        if len(self.pieces.known) > CACHE:
+            self.pieces = self.pieces.again()
+        cut = [self.cut(t) if t else [] for t in texts]
+        line = list(chain.from_iterable(cut))
+        known = self.pieces.known
+        which = list(map(known.get, line))
+        if None in which:
+            self._learn(set(compress(line, map(is_, which, repeat(None)))))
+            which = map(known.__getitem__, line)
+        which = np.fromiter(which, np.int64, len(line))
+        self.pieces.seen(which)
+        flat, size = self.pieces.of(which)
+        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum([len(p) for p in cut], dtype=np.int64)]
         if end is not None:
-            flat = np.insert(flat, np.cumsum(length), np.uint32(end))
-            length = length + 1
-        return flat.astype(np.uint32, copy=False), np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
+            flat = np.insert(flat, ends, np.uint32(end))
+            ends = ends + np.arange(1, len(ends) + 1)
+        return flat, np.concatenate([[0], ends]).astype(np.int64)
 
 
 def encoder(path: str, literal: bool = False) -> Encoder:
