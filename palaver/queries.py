@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,8 +36,27 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.from_documents(_table(spark, sf_dir, "documents"))
 
 
+_held: list[DataFrame] = []
+
+
+def _hold(df: DataFrame) -> DataFrame:
+    """Keeps the tokens of one query at a time, since its branches share them: the expressions behind them are what costs."""
+    while _held:
+        old = _held.pop()
+        if old.sparkSession is df.sparkSession:
+            old.unpersist()
+    _held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return df
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with tokens, with and without stop words."""
+    return _hold(corpus.masked_rows(_documents(spark, sf_dir)).withColumn("tokens_no_stopwords", text.remove_stopwords(F.col("tokens"))))
+
+
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.build_corpus(_documents(spark, sf_dir))
+    """_rows with repeats flagged."""
+    return corpus.with_repeats(_rows(spark, sf_dir))
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +135,7 @@ def _ngram_query(n: int, column: str, name: str) -> None:
     sql = f"{o.ngram_cte(n, sql_column)} SELECT ngram, count_all, count_unique, msgs_all FROM ng"
 
     def run(spark, sf_dir):
-        return ngrams.ngram_table(_corpus(spark, sf_dir), n, column).drop("repetition_ratio")
+        return ngrams.ngram_table(_rows(spark, sf_dir), n, column).drop("repetition_ratio")
 
     run.__name__ = name
     query(sql)(run)
@@ -129,12 +149,12 @@ _ngram_query(3, "tokens", "ngram_trigrams")
 
 @query(f"{o.ngram_cte(1, 'content')} SELECT ngram, count_all, count_unique, msgs_all FROM ng ORDER BY count_unique DESC, ngram LIMIT 20")
 def ngram_topk_by_unique(spark, sf_dir):
-    return ngrams.top(ngrams.ngram_table(_corpus(spark, sf_dir), 1, "tokens_no_stopwords"), 20, "count_unique").drop("repetition_ratio")
+    return ngrams.top(ngrams.ngram_table(_rows(spark, sf_dir), 1, "tokens_no_stopwords"), 20, "count_unique").drop("repetition_ratio")
 
 
 @query(f"{o.ngram_cte(2, 'tokens')} SELECT ngram, count_all, count_unique, msgs_all FROM ng ORDER BY count_all DESC, ngram LIMIT 20")
 def ngram_topk_bigrams(spark, sf_dir):
-    return ngrams.top(ngrams.ngram_table(_corpus(spark, sf_dir), 2), 20).drop("repetition_ratio")
+    return ngrams.top(ngrams.ngram_table(_rows(spark, sf_dir), 2), 20).drop("repetition_ratio")
 
 
 @query(
@@ -142,7 +162,7 @@ def ngram_topk_bigrams(spark, sf_dir):
     "SELECT d.script, coalesce(b, 0) AS tokens_before, coalesce(a, 0) AS tokens_after FROM (VALUES ('latin'), ('devanagari'), ('placeholder'), ('other')) d(script) LEFT JOIN k ON k.script = d.script"
 )
 def script_diagnostics(spark, sf_dir):
-    return ngrams.script_diagnostics(_corpus(spark, sf_dir)).drop("pct_removed")
+    return ngrams.script_diagnostics(_rows(spark, sf_dir)).drop("pct_removed")
 
 
 # ---- repetition
@@ -150,7 +170,7 @@ def script_diagnostics(spark, sf_dir):
 
 @query(f"{o.CORPUS} SELECT line_start AS doc_id, is_repeat FROM corpus")
 def is_repeat_flags(spark, sf_dir):
-    return corpus.with_repeats(corpus.masked_rows(_documents(spark, sf_dir))).select(F.col("line_start").alias("doc_id"), "is_repeat")
+    return _corpus(spark, sf_dir).select(F.col("line_start").alias("doc_id"), "is_repeat")
 
 
 _RAW = f"trim(translate(message, '‎', ''), {o.q(' ' + chr(10) + chr(9) + chr(13) + chr(0xA0))})"
@@ -477,13 +497,13 @@ def duplicate_rows(spark, sf_dir):
 
 @query(f"{o.ngram_cte(1, 'content')} SELECT ngram, msgs_all FROM ng WHERE msgs_all >= 2 AND length(regexp_replace(ngram, '[^0-9]', '', 'g')) < 7 AND NOT regexp_matches(ngram, {o.q('https?://|www[.]|@|chat[.]whatsapp|wa[.]me|whatsapp[.]com|' + chr(92) + 'b[a-z0-9-]+[.](com|org|net|edu|gov|in|co|io|app|me|ly|info|biz|us|uk)' + chr(92) + 'b')})")
 def display_filter_ngrams(spark, sf_dir):
-    t = ngrams.ngram_table(_corpus(spark, sf_dir), 1, "tokens_no_stopwords")
+    t = ngrams.ngram_table(_rows(spark, sf_dir), 1, "tokens_no_stopwords")
     return privacy.display_tables({"ngram_unigrams": t})["ngram_unigrams"].select("ngram", "msgs_all")
 
 
 @query(f"{o.ngram_cte(1, 'content')} SELECT count(*) FILTER (msgs_all < 2) AS hidden_rare, count(*) FILTER (msgs_all >= 2 AND (length(regexp_replace(ngram, '[^0-9]', '', 'g')) >= 7 OR regexp_matches(ngram, {o.q('https?://|www[.]|@|chat[.]whatsapp|wa[.]me|whatsapp[.]com|' + chr(92) + 'b[a-z0-9-]+[.](com|org|net|edu|gov|in|co|io|app|me|ly|info|biz|us|uk)' + chr(92) + 'b')}))) AS hidden_sensitive FROM ng")
 def hidden_terms(spark, sf_dir):
-    return privacy.hidden_counts(ngrams.ngram_table(_corpus(spark, sf_dir), 1, "tokens_no_stopwords"), "ngram", "msgs_all")
+    return privacy.hidden_counts(ngrams.ngram_table(_rows(spark, sf_dir), 1, "tokens_no_stopwords"), "ngram", "msgs_all")
 
 
 @query(f"{o.TURNS}, c AS (SELECT count(*) AS r, count(*) FILTER (message_type = 'user') AS u, count(*) FILTER (message_type = 'system') AS s, count(*) FILTER (kind = 'text') AS t FROM cv) SELECT 'rows' AS name, r AS value FROM c UNION ALL SELECT 'user', u FROM c UNION ALL SELECT 'text', t FROM c UNION ALL SELECT 'system', s FROM c")
