@@ -7,7 +7,7 @@ maximum of the last end gives where it began. Only summaries, one row per block,
 themselves stay where they were found.
 
 Defined results: ids after a file's last end are a document without end (ended is false); an empty file has no document; a document may span any number of
-blocks. Writing: a null or empty text is the end id alone; null doc_ids come first; equal rows are documents of their own. Strings that look
+blocks. Writing: a null or empty text is the end id alone; equal rows are documents of their own. Strings that look
 like the end token inside a text are encoded as ordinary text, so that the end id stands at ends only.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialise, parts, scratch
-from .token_store import opened, runs, write_bytes
+from .token_store import opened, runs, whole_file
 from .tokens import encoder, tokenizer_path
 
 #: Ids in a block.
@@ -36,26 +36,25 @@ ENDS = "file string, block long, k long, position long, last boolean"
 
 
 def write_flat(docs: DataFrame, folder: str, path: str, end: int = END) -> DataFrame:
-    """Writes docs (doc_id, text, ...) as flat files in doc_id order. Returns file, k, doc_id: which document a file's k-th is."""
+    """Writes docs (doc_id, text, ...) as flat files, one for each partition, rows as they come. Returns file, k, doc_id: which document a file's k-th is.
+
+    Nothing is shuffled. A file appears under its name only when it is whole.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, literal=True)
         to = f"{folder}/flat-{TaskContext.get().partitionId():06d}.bin"
-        ids: list[pa.Array] = []
-        data: list[bytes] = []
-        for batch in batches:
-            ids.append(batch.column(0))
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for a, b in runs([len(t) for t in texts]):
-                data.append(enc.encode(texts[a:b], end)[0].astype(enc.dtype).tobytes())
-        if sum(map(len, ids)):
-            write_bytes(to, data)
-            every = pa.concat_arrays(ids)
-            yield pa.RecordBatch.from_arrays([pa.array([to] * len(every)), pa.array(np.arange(len(every))), every], ["file", "k", "doc_id"])
+        n = 0
+        with whole_file(to) as f:
+            for batch in batches:
+                texts = [x or "" for x in batch.column(1).to_pylist()]
+                for a, b in runs([len(t) for t in texts]):
+                    f.write(enc.encode(texts[a:b], end)[0].astype(enc.dtype).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([to] * len(texts), pa.string()), pa.array(np.arange(n, n + len(texts))), batch.column(0)], ["file", "k", "doc_id"])
+                n += len(texts)
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = slim.repartitionByRange(parts(docs), "doc_id", F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
-    return materialise(ordered.mapInArrow(run, "file string, k long, doc_id long"), "flat-docs")
+    return materialise(slim.mapInArrow(run, "file string, k long, doc_id long"), "flat-docs")
 
 
 def files_of(folder: str) -> list[tuple[str, int]]:
