@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .constants import BOUND, EDGE, MARKS, NOT_WS, PHONE, PLAIN_QUOTES, QUOTES, SENSITIVE, SENSITIVE_DIGITS, SHORT_LINKS, SPACE, STOPWORDS, TOP_LEVEL, URL, WORD, WS
+from .constants import BOUND, EDGE, MARKS, NOT_WS, PHONE, PLAIN_QUOTES, QUOTES, SENSITIVE, SENSITIVE_DIGITS, SHORT_LINKS, SPACE, STOPWORDS, TOP_LEVEL, URL, WS
 
 LINK = (
     rf"(?iu)(?:https?://|www\.){NOT_WS}+"
@@ -101,5 +101,3 @@ def looks_sensitive(term: Column) -> Column:
 def clean_raw(text: Column) -> Column:
     return strip_space(F.translate(text, "‎", ""))
 
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("Column", "F", "annotations", "WORD")]

@@ -74,7 +74,7 @@ def _ranked(tops: DataFrame) -> DataFrame:
 
 def variant_comparison(tops: DataFrame, unigrams: DataFrame | None = None) -> DataFrame:
     """term, total_tfidf_all, rank_all, total_tfidf_unique, rank_unique, rank_change[, count_all, count_unique]: one aggregation in place of a full join."""
-    pick = lambda column, v: F.max(F.when(F.col("variant") == v, F.col(column))).alias(f"{column}_{v}".replace("rank_", "rank_"))
+    pick = lambda column, v: F.max(F.when(F.col("variant") == v, F.col(column))).alias(f"{column}_{v}")
     out = _ranked(tops).groupBy("term").agg(*[pick(c, v) for v in ("all", "unique") for c in ("total_tfidf", "rank")])
     out = out.withColumn("rank_change", F.col("rank_unique") - F.col("rank_all"))
     if unigrams is None:

@@ -2,7 +2,7 @@ import pytest
 
 from palaver.operators import gates, quality
 from palaver.plans.config import Config, UserFacingError
-from palaver.plans.run import RunManager, analyse, build_bundle, checked, key_findings, run_export, run_upload, summarise
+from palaver.plans.run import RunManager, analyse, build_bundle, checked, key_findings, run_export, summarise
 from palaver.sources import export, synthetic
 from palaver.sources.files import pre_validate
 
