@@ -34,7 +34,7 @@ from .graph import components
 WORDS, THRESHOLD = 5, 0.8
 HASHES, BANDS, ROWS = 128, 20, 4
 STEP, TOLERANCE = 16, 1e-6
-TILE = 512
+TILE = 256
 #: Pairs that are looked at together.
 CHUNK = 1 << 20
 
@@ -252,7 +252,8 @@ def ngram_links(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
 
     kept = materialise(dealt(with_sig).mapInArrow(wanted, "tile long, band int, side int, rep long, sig binary, copies long"), "candidates")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(kept.select("rep").distinct(), "rep", "left_semi")
+    # the plan is the same at every size: texts are dealt by id once, and candidates, which grow with the corpus, are never broadcast
+    texts = texts.join(kept.select("rep").distinct().hint("shuffle_hash"), "rep", "left_semi")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,7 +300,7 @@ def ngram_links(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     state = state.select("k1", "k2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("class_id"))
     state = materialise(state.where("n_links > 0"), "class-state")
     out = feats.select("doc_id", "k1", "k2").join(state, ["k1", "k2"], "left")
-    out = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"))
+    out = out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
