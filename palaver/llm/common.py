@@ -10,7 +10,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: What operators keep in a Python worker between tasks, by operator: a function that lets go of it.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def worker_of(operator: str, release: Callable[[], None] | None = None) -> None:
+    """Called at the start of a task: a worker that served another operator lets go of what that one kept, so that caches don't add up."""
+    for other in [k for k in _kept if k != operator]:
+        _kept.pop(other)()
+    if release is not None:
+        _kept[operator] = release
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder: spark.checkpoint.dir, or where it is unset (tests) a temporary folder of this driver."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import blocks, crc_text, sorted_counts, text_buffer
+from .common import blocks, crc_text, sorted_counts, text_buffer, worker_of
 
 #: N-grams in a profile.
 PROFILE = 400
@@ -84,6 +84,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     """docs (text, lang) -> lang, gram, n: partial counts of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_of("lang_id")
         for batch in batches:
             buf, offsets = text_buffer(batch.column(0))
             lang = np.array(batch.column(1).to_pylist(), object)
@@ -133,6 +134,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
         places[np.searchsorted(model, p), k] = np.arange(len(p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_of("lang_id")
         for batch in batches:
             buf, offsets = text_buffer(batch.column(text))
             pred: list[str] = []

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, materialise, mix, parts, span_hash, text_buffer, window_hash, word_spans
+from .common import LOWER, blocks, materialise, mix, parts, span_hash, text_buffer, window_hash, word_spans, worker_of
 from .embed_dedup import roots
 from .graph import components
 
@@ -90,6 +90,7 @@ def least_matches(threshold: float, tolerance: float, hashes: int = HASHES, step
 
 def features(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_of("ngram_join")
         for batch in batches:
             buf, offsets = text_buffer(batch.column(1))
             k1, k2, n, sig, bands = [], [], [], [], []

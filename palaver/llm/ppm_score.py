@@ -31,7 +31,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, crc_text, materialise, scratch, sorted_counts, span_hash, text_buffer, word_spans
+from .common import LOWER, blocks, crc_text, materialise, scratch, sorted_counts, span_hash, text_buffer, word_spans, worker_of
 
 #: Bytes of context.
 ORDER = 4
@@ -139,6 +139,10 @@ def code_lengths(table: DataFrame) -> DataFrame:
     return q.select("key", (F.col("cost") + F.when(F.col("done"), 0.0).otherwise(-F.log10(F.greatest(F.lit(1), 256 - F.col("gone_n"))))).alias("cost"))
 
 
+def _forget() -> None:
+    _cache.clear()
+
+
 def _load(path: str, column: str) -> tuple[np.ndarray, np.ndarray]:
     """A table's keys in order and its values, read once by each process."""
     if path not in _cache:
@@ -186,6 +190,7 @@ def score(docs: DataFrame, modulus: int = 7, rest: int = 2, held: int = HELD) ->
         return _joined(slim, spark.read.parquet(costs_at), spark.read.parquet(words_at), tokens, unit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_of("ppm_score", _forget)
         costs, known = _load(costs_at, "cost"), _load(words_at, "learned")
         end = float(_found(*known, np.array([END_WORD]))[0])
         for batch in batches:

@@ -15,6 +15,8 @@ from operator import is_
 
 import numpy as np
 
+from .common import worker_of
+
 CACHE = 1_000_000
 #: Pieces in one string for the library.
 TOGETHER = 256
@@ -152,7 +154,8 @@ class Encoder:
 
 
 def encoder(path: str, literal: bool = False) -> Encoder:
-    """One for each process."""
+    """One for each process, until another operator needs the process."""
+    worker_of("tokens", _encoders.clear)
     if (path, literal) not in _encoders:
         _encoders[path, literal] = Encoder(path, literal)
     return _encoders[path, literal]
