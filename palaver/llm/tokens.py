@@ -17,7 +17,7 @@ import numpy as np
 
 from .common import worker_of
 
-CACHE = 1_000_000
+CACHE = 600_000
 #: Pieces in one string for the library.
 TOGETHER = 256
 #: Punctuation that is split from the end of a piece. None of it ends a special token.
