@@ -2,10 +2,14 @@
 
 The markup is read once, front to back, into blocks: runs of text between block-level tags, each with its count of characters inside
 links and the containers it stands in. Containers that never hold main text (navigation, footers, forms, scripts, ...) and elements whose
-class, id or role says so are left out. The first pass classes the other blocks by length, stop-word density and link density as good, bad,
-near-good or short; a block inside an article or main element whose links don't dominate is good. The second pass settles the rest: a
-short or near-good block takes the label of its nearest decided neighbours, good if either side is (for near-good) or if both are (for short),
-headings look to what follows them. The good blocks' texts are joined in page order.
+class, id or role says so are left out. The first pass classes the other blocks by length, stop-word density and link density as good,
+near-good, weak (few stop words), short or bad. An article or main element is one more feature, if it holds the page's text: that is, if its blocks
+have at least as many characters as the running text (good, near-good, weak) outside. Then its near-good blocks become good and its weak ones near-good,
+while outside good becomes near-good and near-good short. If it is a teaser beside a longer text, all blocks are judged alike. Weak blocks that are left are bad.
+The second pass settles the rest: a short or near-good block takes the label of its nearest decided neighbours, good if either side is (for
+near-good) or if both are (for short), headings look to what follows them (but not out of an article in which nothing is good). Inside an
+element that holds the text, neighbours are looked for inside only, and one good side is enough for a short block; if nothing in it is good, its
+near-good blocks are, or else its short ones. The good blocks' texts are joined in page order.
 
 Defined results: null, empty or blank html gives an empty text; unclosed elements reach to the end of the page (an unclosed comment too); equal rows give equal
 rows; pages are read whole; other columns aren't used. White space inside a block becomes one space; blocks are joined by one space.
@@ -41,6 +45,8 @@ STOP = frozenset(
 )
 #: Characters, share of stop words, share of characters in links.
 SHORT, LONG, STOP_LOW, STOP_HIGH, LINKS = 70, 200, 0.16, 0.28, 0.33
+#: Classes inside an article or main element that holds the page's text, and outside it.
+RAISED, LOWERED = {"near": "good", "weak": "near"}, {"good": "near", "near": "short"}
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
@@ -56,7 +62,7 @@ class Block:
     text: str
     linked: int = 0
     heading: bool = False
-    inside: bool = False  # of an article or main element
+    inside: int = 0  # the outermost article or main element around it, counted from 1
     label: str = ""
 
 
@@ -81,7 +87,7 @@ def blocks_of(page: str) -> list[Block]:
     """The blocks of a page that don't stand in containers apart."""
     out: list[Block] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether each is a container apart
-    apart = links = main = 0
+    apart = links = main = containers = 0
     heading = False
     held: list[str] = []
     linked = 0
@@ -90,7 +96,7 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(held).split())
         if text:
-            out.append(Block(text, linked, heading, main > 0))
+            out.append(Block(text, linked, heading, containers if main else 0))
         held.clear()
         linked = 0
 
@@ -165,6 +171,7 @@ def blocks_of(page: str) -> list[Block]:
         stack.append((name, was))
         apart += was
         links += name == "a"
+        containers += name in ("article", "main") and not main
         main += name in ("article", "main")
     close()
     return out
@@ -176,48 +183,76 @@ def first_pass(b: Block) -> str:
     density = b.linked / size if size else 0.0
     if density > LINKS or "©" in b.text:
         return "bad"
-    if b.inside:
-        return "good"
     if len(b.text) < SHORT:
-        return "bad" if b.linked else "short"
+        return "bad" if b.linked and not b.inside else "short"
     stop = sum(w in STOP for w in words) / len(words) if words else 0.0
     if stop >= STOP_HIGH:
         return "good" if len(b.text) > LONG else "near"
-    return "near" if stop >= STOP_LOW else "bad"
+    return "near" if stop >= STOP_LOW else "weak"
 
 
-def second_pass(page: list[Block]) -> None:
-    """Settle short and near-good blocks by their nearest decided neighbours; beyond the page's ends lies bad."""
-    if all(b.label != "good" for b in page):  # on a page of near-good text, that is the main text
+def weigh_containers(page: list[Block]) -> bool:
+    """Move classes by what an article or main element says, if one holds the page's text; whether one does."""
+    within = sum(len(b.text) for b in page if b.inside and b.label != "bad")
+    outside = sum(len(b.text) for b in page if not b.inside and b.label in ("good", "near", "weak"))
+    holds = any(b.inside for b in page) and within >= outside
+    for b in page:
+        if holds:
+            b.label = (RAISED if b.inside else LOWERED).get(b.label, b.label)
+        b.label = "bad" if b.label == "weak" else b.label
+    return holds
+
+
+def _promote(page: list[Block], label: str) -> None:
+    """If nothing is good, blocks of a label are."""
+    if all(b.label != "good" for b in page):
         for b in page:
-            b.label = "good" if b.label == "near" else b.label
-    labels = [b.label for b in page]
-    decided: list[list[str]] = []  # the nearest good or bad block on either side
-    beside: list[list[str]] = []  # the nearest that isn't short on either side
-    for order in (range(len(page)), range(len(page) - 1, -1, -1)):
-        sure, any_, last, near = ["bad"] * len(page), ["bad"] * len(page), "bad", "bad"
+            b.label = "good" if b.label == label else b.label
+
+
+def _neighbours(labels: list[str], end: str) -> tuple[list[list[str]], list[list[str]]]:
+    """On either side of each block: the nearest good or bad label, and the nearest that isn't short. `end` lies beyond the ends."""
+    decided, beside = [], []
+    for order in (range(len(labels)), range(len(labels) - 1, -1, -1)):
+        sure, any_, last, near = [end] * len(labels), [end] * len(labels), end, end
         for k in order:
             sure[k], any_[k] = last, near
             last = labels[k] if labels[k] in ("good", "bad") else last
             near = labels[k] if labels[k] != "short" else near
         decided.append(sure)
         beside.append(any_)
+    return decided, beside
+
+
+def second_pass(page: list[Block], holds: bool = False) -> None:
+    """Settle short and near-good blocks by their nearest decided neighbours; beyond the page's ends lies bad."""
+    inner = [b for b in page if b.inside] if holds else []
+    _promote(inner, "near")
+    _promote(inner, "short")
+    _promote(page, "near")  # on a page of near-good text, that is the main text
+    labels = [b.label for b in page]
+    decided, beside = _neighbours(labels, "bad")
+    filled = {b.inside for b in page if b.label == "good"} | {0}
+    within, _ = _neighbours([b.label for b in inner], "")
+    for b, left, right in zip(inner, *within, strict=True):
+        if b.label in ("near", "short"):
+            b.label = "good" if "good" in (left, right) else "bad"
     for k, b in enumerate(page):
+        if holds and b.inside:
+            continue
         sides = [decided[0][k], decided[1][k]]
         if labels[k] == "near":
             b.label = "good" if "good" in sides else "bad"
         elif labels[k] == "short":
             close = ["good" if beside[j][k] == "near" and "good" in sides else sides[j] for j in (0, 1)]
-            b.label = "good" if close[1] == "good" and (b.heading or close[0] == "good") else "bad"
+            b.label = "good" if close[1] == "good" and (b.heading and b.inside in filled or close[0] == "good") else "bad"
 
 
 def main_text(page: str) -> str:
     found = blocks_of(page)
-    if any(b.inside for b in found):  # with an article, what stands outside is not the article
-        found = [b for b in found if b.inside]
     for b in found:
         b.label = first_pass(b)
-    second_pass(found)
+    second_pass(found, weigh_containers(found))
     return " ".join(b.text for b in found if b.label == "good")
 
 

@@ -25,6 +25,18 @@ def test_broken_markup():
     assert h.main_text("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</article>") == "deep"
 
 
+def test_container_is_a_feature():
+    card = "<article class='card'><h3>Another story</h3><p>Read on.</p></article>"
+    assert h.main_text(f"<body>{card}<div><p>{LONG}</p><p>Yes.</p><p>{LONG}</p></div></body>") == f"{LONG} Yes. {LONG}"
+    page = f"<body><h1>Title</h1><article><p>{LONG} {LONG}</p><p>Kept.</p></article><p>{LONG} {LONG}</p><p>Stray.</p></body>"
+    assert h.main_text(page) == f"Title {LONG} {LONG} Kept. {LONG} {LONG}"
+    # the second pass settles what is short between blocks of links
+    links = "<p><a href=x>one link after another</a></p>"
+    assert h.main_text(f"<article><p>{LONG}</p>{links}<p>Share:</p>{links}<p>{LONG}</p></article>") == f"{LONG} {LONG}"
+    weak = "qwx " * 40
+    assert h.main_text(f"<article><p>{weak}</p></article>") == weak.strip() and h.main_text(f"<div><p>{weak}</p></div>") == ""
+
+
 def test_frame(spark):
     rows = [(1, "u", f"<article><p>{LONG}</p></article>", "x"), (2, None, None, "x"), (2, None, None, "x"), (None, "v", "", "x"), (4, "w", "<article>" + f"<p>{LONG}</p>" * 2000 + "</article>", "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
