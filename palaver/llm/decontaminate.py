@@ -6,9 +6,11 @@ in lower case. WINDOW consecutive words of a benchmark item are a template windo
 too general and don't count. Beside them go the plain windows, in lower case without placeholders, which see copies whose capitals were changed.
 
 Every window of every document is looked up in a hash table of the benchmark's. Hits of an item that lie on one diagonal (the same shift between
-positions) are aligned, and their slots are checked: each value of a slot in the item must stand for one value in the document, and the other way round,
-so that a re-parameterised question passes and a chance agreement of form does not. A document is contaminated by an item if consistent hits cover
-COVER of the item's words or RUN consecutive ones.
+positions) are aligned. Plain hits are word for word and count as they are. The slots of template hits are checked, stretch by stretch of adjoining windows:
+each value of a slot in the item must stand for one value in the document, and the other way round, so that a re-parameterised question passes and a chance
+agreement of form does not. Slots at odds with the others take the windows around them out of a stretch; if they are no fewer than the repeated values that
+agree, the stretch is chance and none of its template hits count. Of stretches that contradict each other, those that agree with the longest count.
+A document is contaminated by an item if what counts covers COVER of the item's words or RUN consecutive ones.
 
 The benchmark is collected in parts of at most PART_CHARS characters, one pass over the documents each, so what a task holds is bounded whatever its size.
 
@@ -19,6 +21,7 @@ docs are kept; one named like a result gives way.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -141,32 +144,79 @@ def index(items: list[tuple[int | None, str]]) -> Benchmark:
     return Benchmark([i for i, _ in items], w, sorted(tables), tables)
 
 
+def agreeing(item: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, int]:
+    """Which slots follow the one-to-one mapping of values that most of them follow, and how many of these repeat a pair. Ties: the first pair."""
+    pairs = list(zip(item.tolist(), doc.tolist(), strict=True))
+    there: dict[int, int] = {}
+    back: dict[int, int] = {}
+    for (a, b), _ in Counter(pairs).most_common():
+        if a not in there and b not in back:
+            there[a], back[b] = b, a
+    agree = np.array([there.get(a) == b for a, b in pairs], bool)
+    return agree, int(agree.sum()) - len(there)
+
+
 def consistent(item: np.ndarray, doc: np.ndarray) -> bool:
     """Whether values of slots stand for one another, one to one."""
-    pairs = set(zip(item.tolist(), doc.tolist(), strict=True))
-    return len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+    return bool(agreeing(item, doc)[0].all())
+
+
+def _marked(size: int, spans: list[tuple[int, int]]) -> np.ndarray:
+    mark = np.zeros(size, bool)
+    for p, n in spans:
+        mark[p : p + n] = True
+    return mark
+
+
+def _runs(mark: np.ndarray) -> list[tuple[int, int]]:
+    step = np.diff(np.concatenate([[0], mark.astype(np.int8), [0]]))
+    return list(zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True))
+
+
+def templates(spans: list[tuple[int, int]], slot: np.ndarray, item: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The words of an item that consistent template hits of one diagonal cover. spans: position, window; slot: which of its words are slots; item, doc: values."""
+    mark = _marked(len(slot), spans)
+    at = np.flatnonzero(mark & slot)
+    if consistent(item[at], doc[at]):
+        return mark
+    kept: list[tuple[int, int]] = []
+    for a, b in _runs(mark):
+        at = a + np.flatnonzero(slot[a:b])
+        agree, repeats = agreeing(item[at], doc[at])
+        odd = at[~agree]
+        if not len(odd) or repeats > len(odd):
+            here = [(p, n) for p, n in spans if a <= p < b and not ((odd >= p) & (odd < p + n)).any()]
+            kept += _runs(_marked(len(slot), here))
+    out = np.zeros(len(slot), bool)
+    for a, b in sorted(kept, key=lambda x: (x[0] - x[1], x[0])):
+        more = out.copy()
+        more[a:b] = True
+        at = np.flatnonzero(more & slot)
+        out = more if consistent(item[at], doc[at]) else out
+    return out
 
 
-def judge(bench: Benchmark, words: Words, a: int, hits: list[tuple[int, int, int, int]]) -> dict[int, float]:
-    """hits of one document, which begins at word a: (item, position in the item, in the document, window). -> item: share of its words that is covered."""
-    lines: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for item, p, d, n in hits:
-        lines.setdefault((item, d - p), []).append((p, n))
+def judge(bench: Benchmark, words: Words, a: int, hits: list[tuple[int, int, int, int, bool]]) -> dict[int, float]:
+    """hits of one document, which begins at word a: (item, position in the item, in the document, window, plain). -> item: share of its words that is covered."""
+    lines: dict[tuple[int, int], tuple[list[tuple[int, int]], list[tuple[int, int]]]] = {}
+    for item, p, d, n, plain in hits:
+        lines.setdefault((item, d - p), ([], []))[plain].append((p, n))
     covered: dict[int, np.ndarray] = {}
-    for (item, shift), spans in lines.items():
+    for (item, shift), (slotted, plain) in lines.items():
         begin = int(bench.words.first[item])
         size = int(bench.words.first[item + 1]) - begin
-        mark = np.zeros(size, bool)
-        for p, n in spans:
-            mark[p : p + n] = True
-        at = np.flatnonzero(mark)
-        slot = at[bench.words.template[begin + at] != bench.words.literal[begin + at]]
-        if consistent(bench.words.literal[begin + slot], words.literal[a + shift + slot]):
-            covered[item] = covered.get(item, np.zeros(size, bool)) | mark
+        own = bench.words.literal[begin : begin + size]
+        mark = _marked(size, plain)
+        if slotted:
+            low = max(0, -(a + shift))  # the item's words that lie before the first or after the last word of the texts are in no hit
+            theirs = np.zeros(size, np.uint64)
+            part = words.literal[a + shift + low : a + shift + size]
+            theirs[low : low + len(part)] = part
+            mark |= templates(slotted, bench.words.template[begin : begin + size] != own, own, theirs)
+        covered[item] = covered.get(item, np.zeros(size, bool)) | mark
     out = {}
     for item, mark in covered.items():
-        step = np.diff(np.concatenate([[0], mark.astype(np.int8), [0]]))
-        run = int((np.flatnonzero(step == -1) - np.flatnonzero(step == 1)).max())
+        run = max((y - x for x, y in _runs(mark)), default=0)
         if mark.mean() >= COVER or run >= RUN:
             out[item] = float(mark.mean())
     return out
@@ -176,10 +226,10 @@ def contaminated(bench: Benchmark, buf: np.ndarray, offsets: np.ndarray) -> dict
     """By document, the items that contaminate it and how much of each was found."""
     w = canonical(buf, offsets)
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(w.first))
-    hits: dict[int, list[tuple[int, int, int, int]]] = {}
+    hits: dict[int, list[tuple[int, int, int, int, bool]]] = {}
     for n in bench.sizes:
         hashes, items, places, quick = bench.tables[n]
-        for words in (w.literal, w.template):
+        for words, plain in ((w.literal, True), (w.template, False)):
             h = windows(words, n)
             maybe = np.flatnonzero(quick[(h >> np.uint64(42)).astype(np.int64)])
             maybe = maybe[owner[maybe] == owner[maybe + n - 1]]
@@ -187,7 +237,7 @@ def contaminated(bench: Benchmark, buf: np.ndarray, offsets: np.ndarray) -> dict
             for at, x, y in zip(maybe[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
                 doc = int(owner[at])
                 mine = hits.setdefault(doc, [])
-                mine += [(int(items[k]), int(places[k]), at - int(w.first[doc]), n) for k in range(x, y)]
+                mine += [(int(items[k]), int(places[k]), at - int(w.first[doc]), n, plain) for k in range(x, y)]
     out = {}
     for doc, mine in hits.items():
         if good := judge(bench, w, int(w.first[doc]), mine):

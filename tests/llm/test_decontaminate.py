@@ -66,3 +66,19 @@ def test_against_brute_force(spark):
         docs.append((k, " ".join(text)))
     found = d.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {x["doc_id"]: x["item_ids"] for x in found.collect()} == want and len(want) > 20
+
+
+def test_an_edited_slot(spark):
+    """A changed number or name takes away its own windows only, in verbatim copies and in re-parameterised ones; a chance form stays out."""
+    item = ITEMS[0][1]
+    story = "In spring the 4 farmers sold 20 crates of red apples to the old mill. The miller paid 4 coins for each. In autumn the farmers came back with 20 more crates and the price fell by half."
+    again = DOCS[1][1]
+    docs = [
+        (1, item.replace("3 more", "4 more")), (2, item.replace("has 3", "has 2")), (3, item.replace("Bob leaves", "Alice leaves")),
+        (4, story.replace("In autumn", "By autumn").replace("20 more", "30 more")), (5, story.replace("The miller", "Her miller")), (6, "some words " + story.replace("paid 4", "paid 5") + " and more"),
+        (7, again.replace("7 more", "8 more")), (8, DOCS[2][1]), (9, DOCS[4][1]),
+    ]
+    bench = spark.createDataFrame([(1, item), (2, story)], "item_id long, text string")
+    got = {r["doc_id"]: r for r in d.find(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert {k: r["item_ids"] for k, r in got.items()} == {1: [1], 2: [1], 3: [1], 4: [2], 5: [2], 6: [2], 7: [1]}
+    assert got[1]["coverage"] == 22 / 24 and got[7]["coverage"] == 22 / 24
