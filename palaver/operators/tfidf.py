@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -109,26 +112,53 @@ def stability_indices(n: int, full: int = 200, runs: int = 60) -> list[int]:
     return sorted({round(k * (n - 1) / (runs - 1)) for k in range(runs)})
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """_n, terms: documents numbered from 0 in row order. Counts by range of lines are summed up, so no task sorts all rows."""
+    rows = docs.select("chat", "line_start", "terms").withColumn("_range", F.coalesce(F.floor(F.col("line_start") / 1024), F.lit(-1)))
+    counts = rows.groupBy("chat", "_range").agg(F.count(F.lit(1)).alias("_c"))
+    above = W.orderBy("chat", "_range").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(above), F.lit(0))).drop("_c")
+    inside = F.row_number().over(W.partitionBy("chat", "_range").orderBy("line_start")) - 1
+    return rows.withColumn("_in", inside).join(counts, ["chat", "_range"]).select((F.col("_in") + F.col("_before")).alias("_n"), "terms")
+
+
 def leave_one_out(docs: DataFrame, k: int = 10, full: int = 200, runs: int = 60) -> DataFrame:
     """run (0, 1, ... in row order of the document left out), overlap: share of the k best terms that stay when it is left out. docs: one variant.
 
-    Leaving a document out changes N by one and df only for its own terms. All runs are one plan: postings times runs, less each run's own document.
+    Leaving a document out changes N by one and df only for its own terms. So all runs share the sum of squares of a document's weights, and a run adds what
+    its own terms change in it. No idf changes by more than known factors, so only terms whose total comes within these of the k-th best are
+    summed up for each run: no other can be among the k best. Runs at once, so that the postings are kept only as long; the result is one row a run.
     """
-    numbered = docs.select("chat", "line_start", "terms").withColumn("_n", F.row_number().over(W.orderBy("chat", "line_start")) - 1)
-    n = numbered.count()
+    numbered = _numbered(docs)
+    n = docs.count()
     picks = stability_indices(n, full, runs)
+    run = docs.sparkSession.createDataFrame(list(enumerate(picks)), "run int, _out long")
     tf = numbered.select("_n", F.explode("terms").alias("term")).groupBy("_n", "term").agg(F.count(F.lit(1)).alias("tf"))
-    run = docs.sparkSession.createDataFrame([(r, i) for r, i in enumerate(picks)] + [(-1, -1)], "run int, _out int")
-    x = tf.withColumn("_o", F.explode(F.array(*map(F.lit, [*picks, -1])))).join(F.broadcast(run), F.col("_o") == F.col("_out")).where("_n <> _out").drop("_o")
-    df = x.groupBy("run", "term").agg(F.count(F.lit(1)).alias("df"))
-    size = F.when(F.col("run") < 0, F.lit(n)).otherwise(F.lit(n - 1))
-    raw = x.join(df, ["run", "term"]).withColumn("raw", F.col("tf") * (F.ln((1 + size) / (1 + F.col("df"))) + 1))
-    norm = raw.withColumn("norm", F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy("run", "_n"))))
-    total = norm.groupBy("run", "term").agg(F.round(F.sum("norm"), DIGITS).alias("total"))
-    best = total.withColumn("_r", F.row_number().over(W.partitionBy("run").orderBy(F.col("total").desc(), "term"))).where(F.col("_r") <= k)
-    base = best.where("run < 0").select("term")
-    kept = best.where("run >= 0").join(F.broadcast(base), "term", "left_semi").groupBy("run").agg(F.count(F.lit(1)).alias("c"))  # k rows
-    return run.where("run >= 0").select("run").join(kept, "run", "left").select("run", (F.coalesce("c", F.lit(0)) / F.lit(float(k))).alias("overlap"))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # idf with all documents, without one that lacks the term, and without one that has it
+    idf = df.select("term", (F.ln((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("whole"), (F.ln(F.lit(n) / (1 + F.col("df"))) + 1).alias("lacks"), (F.ln(F.lit(n) / F.col("df")) + 1).alias("has"))
+    p = tf.join(idf, "term").persist(StorageLevel.MEMORY_AND_DISK)
+    square = lambda c: F.col("tf") * F.col("tf") * F.col(c) * F.col(c)
+    norms = p.groupBy("_n").agg(F.sqrt(F.sum(square("whole"))).alias("norm"), F.sum(square("lacks")).alias("squares"))
+    base = p.join(norms, "_n").groupBy("term").agg(F.round(F.sum(F.col("tf") * F.col("whole") / F.col("norm")), DIGITS).alias("total"))
+    best = base.orderBy(F.col("total").desc(), "term").limit(k).collect()
+    least = 0.0
+    if n > 2 and len(best) == k:
+        # an idf falls by ln((1 + n) / n) at most and is 1 at least; a term of two documents gains the largest share, at most this
+        low, high = 1 - math.log((1 + n) / n), 1 + 0.5 / (math.log((1 + n) / 3) + 1)
+        least = (best[-1]["total"] - 1) * (low / high) ** 2 * (1 - 1e-9)  # a document adds 1 to a total at most
+    own = p.join(F.broadcast(run), F.col("_n") == F.col("_out")).select("run", "_out", "term")
+    change = p.join(own, "term").where("_n <> _out").groupBy("_n", "run").agg(F.sum(square("has") - square("lacks")).alias("change"))
+    some = p.join(base.where(F.col("total") >= least).select("term"), "term").join(norms.select("_n", "squares"), "_n")
+    x = some.withColumn("_o", F.explode(F.array(*[F.lit(i).cast("long") for i in picks]))).join(F.broadcast(run), F.col("_o") == F.col("_out")).where("_n <> _out").drop("_o", "_out")
+    x = x.join(change, ["_n", "run"], "left").join(own.select("run", "term", F.lit(True).alias("mine")), ["run", "term"], "left")
+    weight = F.col("tf") * F.when(F.col("mine"), F.col("has")).otherwise(F.col("lacks")) / F.sqrt(F.col("squares") + F.coalesce("change", F.lit(0.0)))
+    total = x.groupBy("run", "term").agg(F.round(F.sum(weight), DIGITS).alias("total"))
+    top = total.withColumn("_r", F.row_number().over(W.partitionBy("run").orderBy(F.col("total").desc(), "term"))).where(F.col("_r") <= k)
+    kept = top.where(F.col("term").isin([r["term"] for r in best])).groupBy("run").agg(F.count(F.lit(1)).alias("c"))
+    found = {r["run"]: r["c"] for r in kept.collect()}
+    p.unpersist()
+    return docs.sparkSession.createDataFrame([(r, found.get(r, 0) / k) for r in range(len(picks))], "run int, overlap double")
 
 
 def stability(docs: DataFrame, k: int = 10, full: int = 200, runs: int = 60) -> DataFrame:

@@ -264,9 +264,10 @@ def tfidf_top_overlap(spark, sf_dir):
 
 @query()
 def tfidf_stability(spark, sf_dir):
-    """Leave-one-out overlap of the benchmark's items, each a document; checked against a brute-force loop in the tests."""
-    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text", F.lit("benchmark").alias("source"))
-    return tfidf.stability(tfidf.documents(corpus.build_corpus(tables.from_documents(items))))
+    """Leave-one-out overlap of the documents' best terms for each variant; checked against a brute-force loop in the tests."""
+    docs = _docs(spark, sf_dir)
+    every, unique = (tfidf.stability(corpus.select_variant(docs, v)).select(F.lit(v).alias("variant"), "*") for v in corpus.VARIANTS)
+    return every.unionByName(unique)
 
 
 # ---- key terms

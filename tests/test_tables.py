@@ -129,3 +129,33 @@ def test_adapters(spark):
     c = spark.createDataFrame([(1, 0, "system", "Be kind"), (1, 1, "user", "hi"), (1, 2, "assistant", None)], "conv_id long, turn long, role string, text string")
     got = {r["line_start"]: (r["message_type"], r["sender"], r["message"]) for r in tables.from_conversations(c).collect()}
     assert got == {0: ("system", None, "Be kind"), 1: ("user", "user", "hi"), 2: ("user", "assistant", "")}
+
+
+def test_stability_of_documents(spark, tmp_path):
+    """The registered query reads documents, leaves out 60 of more than 200, and agrees with a loop."""
+    import math
+    import random
+    from collections import Counter
+
+    from palaver.operators import tfidf
+    from palaver.queries import QUERIES
+
+    r = random.Random(3)
+    words = [a + b for a in ("zor", "kel", "mip", "tav", "rud") for b in ("ka", "lo", "mi", "nu", "pe", "sa")]
+    docs = [r.choices(words, weights=range(30, 60), k=r.randint(1, 12)) for _ in range(230)]
+    docs[40] = docs[7]
+    spark.createDataFrame([(10 * k, " ".join(d), "en", "web", 1) for k, d in enumerate(docs)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def best(some):
+        n, df, total = len(some), Counter(t for d in some for t in set(d)), Counter()
+        for d in some:
+            raw = {t: c * (math.log((1 + n) / (1 + df[t])) + 1) for t, c in Counter(d).items()}
+            norm = math.sqrt(sum(v * v for v in raw.values()))
+            total.update({t: v / norm for t, v in raw.items()})
+        return {t for _, t in sorted((-round(v, 12), t) for t, v in total.items())[:10]}
+
+    got = {x["variant"]: x for x in QUERIES["tfidf_stability"](spark, str(tmp_path)).collect()}
+    for variant, some in (("all", docs), ("unique", [d for k, d in enumerate(docs) if d not in docs[:k]])):
+        want = [len(best(some) & best(some[:i] + some[i + 1 :])) / 10 for i in tfidf.stability_indices(len(some))]
+        assert len(want) == got[variant]["runs"] == 60 and got[variant]["min_overlap"] == min(want) and got[variant]["argmin"] == want.index(min(want))
+        assert abs(got[variant]["mean_overlap"] - sum(want) / 60) < 1e-4 and min(want) < 1
