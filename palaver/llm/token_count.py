@@ -8,7 +8,8 @@ themselves stay where they were found.
 
 Defined results: ids after a file's last end are a document without end (ended is false); an empty file has no document; a document may span any number of
 blocks. Writing: a null or empty text is the end id alone; equal rows are documents of their own. Strings that look
-like the end token inside a text are encoded as ordinary text, so that the end id stands at ends only.
+like the end token inside a text are encoded as ordinary text, so that the end id stands at ends only. Rows with a null doc_id are documents like others.
+Other columns aren't used, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, parts, scratch
-from .token_store import opened, runs, whole_file
-from .tokens import encoder, tokenizer_path
+from .common import blocks, mapped, materialise, parts, scratch, text_buffer
+from .token_store import RUN, opened, whole_file
+from .tokens import Encoder, encoder, tokenizer_path
 
 #: Ids in a block.
 BLOCK = 1 << 20
@@ -47,14 +48,13 @@ def write_flat(docs: DataFrame, folder: str, path: str, end: int = END) -> DataF
         n = 0
         with whole_file(to) as f:
             for batch in batches:
-                texts = [x or "" for x in batch.column(1).to_pylist()]
-                for a, b in runs([len(t) for t in texts]):
-                    f.write(enc.encode(texts[a:b], end)[0].astype(enc.dtype).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([to] * len(texts), pa.string()), pa.array(np.arange(n, n + len(texts))), batch.column(0)], ["file", "k", "doc_id"])
-                n += len(texts)
+                for _, _, part, at in blocks(*text_buffer(batch.column(1)), RUN):
+                    f.write(enc.encode_buffer(part, at, end)[0].astype(enc.dtype).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([to] * batch.num_rows, pa.string()), pa.array(np.arange(n, n + batch.num_rows)), batch.column(0)], ["file", "k", "doc_id"])
+                n += batch.num_rows
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialise(slim.mapInArrow(run, "file string, k long, doc_id long"), "flat-docs")
+    return materialise(mapped(slim, "tokens", run, "file string, k long, doc_id long"), "flat-docs")
 
 
 def files_of(folder: str) -> list[tuple[str, int]]:
@@ -94,7 +94,7 @@ def scan(spark: SparkSession, files: list[tuple[str, int]], end: int = END, dtyp
 
     table = spark.createDataFrame([(f, n) for f, n in files if n], "file string, size long")
     cut = table.select("file", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / F.lit(block * width)))).alias("block"))
-    ends = materialise(cut.repartition(parts(table), "file", "block").mapInArrow(run, ENDS), "ends")
+    ends = materialise(mapped(cut.repartition(parts(table), "file", "block"), "token_count", run, ENDS), "ends")
     # the prefix scan over block summaries
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     sums = ends.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.max("position").alias("top"))
@@ -109,5 +109,5 @@ def count_tokens(docs: DataFrame, path: str | None = None, folder: str | None =
     spark = docs.sparkSession
     path, folder = path or tokenizer_path(), folder or scratch(spark, "flat")
     names = write_flat(docs, folder, path, end)
-    counted = scan(spark, files_of(folder), end, encoder(path, literal=True).dtype.str)
+    counted = scan(spark, files_of(folder), end, Encoder(path, literal=True, slots=1).dtype.str)
     return names.join(counted, ["file", "k"]).select("doc_id", "n_tokens", "ended", "file", "k", "start")

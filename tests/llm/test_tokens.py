@@ -1,3 +1,4 @@
+import random
 import zlib
 from pathlib import Path
 
@@ -17,9 +18,9 @@ def library():
     return Tokenizer.from_file(PATH)
 
 
-def test_encoder(library, monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE", 10)
-    enc = tokens.Encoder(PATH)
+@pytest.mark.parametrize("slots", [8, 1 << 12])
+def test_encoder(library, slots):
+    enc = tokens.Encoder(PATH, slots=slots)
     for _ in range(2):
         flat, at = enc.encode([t or "" for t in TEXTS], 2)
         for k, t in enumerate(TEXTS):
@@ -27,6 +28,21 @@ def test_encoder(library, monkeypatch):
     assert enc.encode([], 2)[1].tolist() == [0]
 
 
+@pytest.mark.parametrize("literal", [False, True])
+def test_encoder_on_odd_texts(library, literal):
+    """Pieces are cut where the library would begin a token, whatever stands there; a table of 64 places forgets most of them."""
+    r = random.Random(5)
+    some = [" ", " ", "\n", "\t", "a", "Bc", "é", "É", "à", "1", "23", ".", ",", "'s", "'", "\u201c", "日", "<|endoftext|>", "\x00", "(", "-", "\x1c", "\x85", "\u2003", "ß", "😀", "longer" * 4]
+    texts = ["".join(r.choices(some, k=r.randint(0, 30))) for _ in range(1500)]
+    other = Tokenizer.from_file(PATH)
+    other.encode_special_tokens = literal
+    enc = tokens.Encoder(PATH, literal, slots=64)
+    for a in range(0, len(texts), 500):
+        flat, at = enc.encode(texts[a : a + 500])
+        for k, t in enumerate(texts[a : a + 500]):
+            assert flat[at[k] : at[k + 1]].tolist() == other.encode(t, add_special_tokens=False).ids, t
+
+
 def test_store_round_trip(spark, library, tmp_path):
     folder = f"file://{tmp_path}"
     df = spark.createDataFrame([*DOCS, (None, "no id"), (6, "hello world")], "doc_id long, text string").repartition(3)
@@ -45,6 +61,24 @@ def test_store_round_trip(spark, library, tmp_path):
     assert token_store.store_tokens(df.where("false")).count() == 0
 
 
+def test_shards_roll(spark, library, tmp_path):
+    """Small shards give the same rows as one; other columns, clashing names among them, aren't used."""
+    df = spark.createDataFrame([(k, f"text {k} of some words", 5, "x") for k in range(300)], "doc_id long, text string, start long, shard string").coalesce(1)
+    run = token_store.RUN
+    token_store.RUN = 1 << 10
+    try:
+        shards = token_store.write_dataset(df, f"file://{tmp_path}", PATH, shard=1 << 11)
+    finally:
+        token_store.RUN = run
+    got = token_store.read_dataset(spark, f"file://{tmp_path}", shards).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == list(range(300)) and sum(s[2] for s in shards) == 300
+    start = 0
+    for r in got:
+        ids = [*library.encode(f"text {r['doc_id']} of some words", add_special_tokens=False).ids, 2]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 @pytest.mark.parametrize("block", [1, 3, 7, 1000])
 def test_scan_stitches_blocks(spark, tmp_path, block):
     ids = [[5, 9, 0], [0], [1, 2, 3, 4, 5, 6, 7, 8, 0], [3, 0], [4, 4]]
