@@ -80,3 +80,36 @@ def test_apply_and_edges(spark):
     want = sum(r["copies"] for r in mixing.mix_copies(df).collect() if r["size"])
     assert out.count() == want
     assert mixing.mix_copies(df.where("false")).count() == 0 and mixing.apply_mix(df.where("false")).count() == 0
+
+
+def test_pareto_order_with_unequal_odds(spark):
+    """Which documents are taken: all of them ranked one by one in plain Python, with importances, repeated rows and a null doc_id."""
+    r = random.Random(12)
+    docs = [(k, " ".join(["w"] * r.choice([1, 3, 9, 30])), r.choice(["a", "b", "c"]), r.choice([0.5, 1.0, 2.0, 4.0])) for k in range(500)]
+    docs += [(None, "w w", "a", 1.0), *[(900, "w " * 40, "a", 2.0)] * 7]
+    df = spark.createDataFrame(docs, f"{SCHEMA}, imp double")
+    keys = {(x["doc_id"], x["text"]): (x["k"], x["u"]) for x in df.select("doc_id", "text", mixing.text_key().alias("k")).selectExpr("doc_id", "text", "k", "(shiftrightunsigned(xxhash64(17, coalesce(doc_id, -1L), k), 12) + 0.5D) / 4503599627370496D u").collect()}
+    size = lambda t: len(t.split())
+    target = filled({s: sum(size(d[1]) for d in docs if d[2] == s) for s in "abc"}, (3, 2, 1), 0.6)
+    want = defaultdict(int)
+    for s in "abc":
+        mine = [d for d in docs if d[2] == s]
+        mass = sum(size(d[1]) * d[3] for d in mine)
+        left, ranked = target[s], []
+        for d in mine:
+            e = min(2.0, target[s] * d[3] / mass)
+            want[d[0], d[1]] += int(e + 1e-12)
+            left -= size(d[1]) * int(e + 1e-12)
+            p = e - int(e + 1e-12)
+            k, u = keys[d[0], d[1]]
+            if p > 0:
+                ranked.append((int(u * (1 - p) / (u * (1 - p) + p * (1 - u)) * 2.0**48), -1 if d[0] is None else d[0], k, d))
+        for *_, d in sorted(ranked, key=lambda x: x[:3]):
+            if left < size(d[1]) / 2:
+                break
+            want[d[0], d[1]] += 1
+            left -= size(d[1])
+    got = defaultdict(int)
+    for x in mixing.mix_copies(df, weights=(3, 2, 1), ratio=0.6, importance="imp").collect():
+        got[x["doc_id"], x["text_key"]] += x["copies"]
+    assert {(i, keys[i, t][0]): n for (i, t), n in want.items()} == dict(got)
