@@ -6,14 +6,16 @@ set of that one shorter run. Two documents are linked if the Jaccard similarity
 1. One pass over the texts makes, for each document, a 128-bit key of its set and a signature of HASHES minimum hashes. Documents with equal sets are one class.
 2. BANDS keys of ROWS minimum hashes each find candidates: classes that share a key. A pair of similarity 0.8 shares none with probability 0.59^20 (under 3 in 100,000).
    Keys of a single class go at once.
-3. Classes under a key are cut into blocks of TILE, and blocks meet in tiles, so a hot key is many tasks' work. A pair counts only under the first key it shares.
+3. Classes under a key are cut into blocks of about TILE classes and TILE_SHINGLES shingles, and blocks meet in tiles, so a hot key is many tasks' work. A pair
+   counts only under the first key it shares, which is judged on the very values that the keys are made of.
    Its signatures are compared STEP values at a time, and it is dropped as soon as the posterior probability (uniform prior) of a similarity of
    THRESHOLD or more falls below TOLERANCE.
 4. Only classes with a pair left fetch their text; the pairs left are verified exactly on their shingles.
 5. A tile gives sums of links and local components, never pairs. Connected components over these give class_id.
 
-Defined results: null, empty and blank texts link with nothing. Equal texts, and repeated rows, link with each other. Rows that share a doc_id are one
-document to the components. A null doc_id links with nothing. Very long texts are used whole. An empty table gives an empty table. Other columns aren't used.
+Defined results: null, empty and blank texts link with nothing. Equal texts, and repeated rows, link with each other. Rows that share a doc_id but not
+their text are documents of their own: links are between rows, and only names, such as class_id, are shared. A null doc_id links with nothing and has a null
+class_id. Very long texts are used whole. An empty table gives an empty table. Other columns aren't used, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,22 +25,22 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, materialise, mix, parts, span_hash, text_buffer, window_hash, word_spans, worker_of
+from .common import LOWER, blocks, mapped, materialise, mix, parts, span_hash, text_buffer, window_hash, word_spans
 from .embed_dedup import roots
 from .graph import components
 
 WORDS, THRESHOLD = 5, 0.8
 HASHES, BANDS, ROWS = 128, 20, 4
 STEP, TOLERANCE = 16, 1e-6
-TILE = 256
+TILE, TILE_SHINGLES = 1024, 1 << 20
 #: Pairs that are looked at together.
 CHUNK = 1 << 20
 
-FEATURES = "doc_id long, k1 long, k2 long, n int, sig binary, bands binary"
+FEATURES = "doc_id long, t long, k1 long, k2 long, n int, sig binary, bands binary"
 _generator = np.random.Generator(np.random.PCG64(20))
 _MULTIPLIERS = _generator.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 _ADDENDS = _generator.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -90,7 +92,6 @@ def least_matches(threshold: float, tolerance: float, hashes: int = HASHES, step
 
 def features(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_of("ngram_join")
         for batch in batches:
             buf, offsets = text_buffer(batch.column(1))
             k1, k2, n, sig, bands = [], [], [], [], []
@@ -103,29 +104,37 @@ def features(docs: DataFrame) -> DataFrame:
                 a, b = set_key(s)
                 k1.append(a)
                 k2.append(b)
-                full = signature(s)
-                sig.append((full & np.uint32(0xFFFF)).astype("<u2").tobytes())
-                key = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
-                for r in range(ROWS):
-                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + full[r : BANDS * ROWS : ROWS])
-                bands.append(key.astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(bands, pa.binary())], ["doc_id", "k1", "k2", "n", "sig", "bands"])
+                full = (signature(s) & np.uint32(0xFFFF)).astype("<u2")
+                sig.append(full.tobytes())
+                bands.append(band_keys(full).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(bands, pa.binary())], ["doc_id", "t", "k1", "k2", "n", "sig", "bands"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, FEATURES)
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_id().alias("t")), "ngram_join", run, FEATURES)
+
+
+def text_id() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """A key for each band, of the signature's own values."""
+    key = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
+    for r in range(ROWS):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[r : BANDS * ROWS : ROWS].astype(np.uint64))
+    return key.astype("<u8")
 
 
 def band_rows(classes: DataFrame) -> DataFrame:
-    """rep, bands -> rep, band, key: BANDS rows a class."""
+    """node, bands, n -> node, band, key, n: BANDS rows a class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            reps = batch.column(0).to_numpy()
-            if len(reps):
+            nodes = batch.column(0).to_numpy()
+            if len(nodes):
                 keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(reps, BANDS)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(reps))), pa.array(keys)], ["rep", "band", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, BANDS)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(nodes))), pa.array(keys), pa.array(np.repeat(batch.column(2).to_numpy(), BANDS))], ["node", "band", "key", "n"])
 
-    return classes.select("rep", "bands").mapInArrow(run, "rep long, band int, key long")
+    return mapped(classes.select("node", "bands", "n"), "ngram_join", run, "node long, band int, key long, n int")
 
 
 def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -219,64 +228,63 @@ def _signatures(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, HASHES)
 
 
-def ngram_links(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, class_id, n_links, kept: a row for each row.
-
-    n_links: other documents at threshold or above; class_id: the least doc_id that links reach; kept: doc_id = class_id.
-    """
+def linked_rows(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """docs (doc_id, text, ...) -> doc_id, t (the text's hash), component, class_id, n_links: a row for each row; the last three are null where there is no link."""
     least = least_matches(threshold, tolerance)
     feats = materialise(features(docs), "features")
-    classes = feats.where("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    classes = materialise(classes, "classes")
+    classes = feats.where("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     rows = band_rows(classes)
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumn("cuts", F.ceil(F.col("m") / F.lit(TILE)))
-    members = materialise(rows.join(shared, "key").select("key", "band", "rep", "cuts"), "members")
-    block = F.pmod(F.xxhash64("rep"), F.col("cuts"))
+    cuts = F.greatest(F.ceil(F.col("m") / F.lit(TILE)), F.ceil(F.col("size") / F.lit(TILE_SHINGLES)))
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size")).where("m > 1").select("key", F.least(cuts, F.col("m")).alias("cuts"))
+    members = materialise(rows.join(shared, "key").select("key", "band", "node", "cuts"), "members")
+    block = F.pmod(F.xxhash64("node"), F.col("cuts"))
     met = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     side = F.when(low == high, 0).when(F.col("block") == low, 1).otherwise(2)
-    met = met.select(F.xxhash64("key", low, high).alias("tile"), "band", side.cast("int").alias("side"), "rep")
-    with_sig = met.join(classes.select("rep", "sig", "copies"), "rep").select("tile", "band", "side", "rep", "sig", "copies")
+    met = met.select(F.xxhash64("key", low, high).alias("tile"), "band", side.cast("int").alias("side"), "node")
+    with_sig = met.join(classes.select("node", "sig", "copies"), "node").select("tile", "band", "side", "node", "sig", "copies")
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches):
-            tile, band, sides, rep = (table.column(k).to_numpy() for k in range(4))
+            tile, band, sides, node = (table.column(k).to_numpy() for k in range(4))
             use = np.zeros(len(tile), bool)
             for i, j in surviving(tile, band, sides, _signatures(table.column(4)), least):
                 use[i] = use[j] = True
             if use.any():
                 yield table.filter(pa.array(use)).combine_chunks().to_batches()[0]
 
+    n = parts(docs)
+
     def dealt(df: DataFrame) -> DataFrame:
-        return df.repartition(parts(df), "tile").sortWithinPartitions("tile")
+        return df.repartition(n, "tile").sortWithinPartitions("tile")
 
-    kept = materialise(dealt(with_sig).mapInArrow(wanted, "tile long, band int, side int, rep long, sig binary, copies long"), "candidates")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    kept = materialise(mapped(dealt(with_sig), "ngram_join", wanted, "tile long, band int, side int, node long, sig binary, copies long"), "candidates")
     # the plan is the same at every size: texts are dealt by id once, and candidates, which grow with the corpus, are never broadcast
-    texts = texts.join(kept.select("rep").distinct().hint("shuffle_hash"), "rep", "left_semi")
+    asked = classes.join(kept.select("node").distinct(), "node", "left_semi").select("node", "rep", "k1", "k2")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(asked.select("rep").distinct().hint("shuffle_hash"), "rep", "left_semi")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(shingles(*text_buffer(batch.column(1))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_key(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "k1", "shingles"])
+            buf, offsets = text_buffer(batch.column(1))
+            for first, end, part, at in blocks(buf, offsets):
+                sets = list(shingles(part, at))
+                keys = [set_key(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), *(pa.array([k[c] for k in keys], pa.int64()) for c in (0, 1)), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "k1", "k2", "shingles"])
 
-    sets = texts.mapInArrow(cut, "rep long, k1 long, shingles binary").join(classes.select("rep", "k1"), ["rep", "k1"], "left_semi").select("rep", "shingles")
-    checked = kept.join(sets, "rep").select("tile", "band", "side", "rep", "sig", "copies", "shingles")
+    sets = mapped(texts, "ngram_join", cut, "rep long, k1 long, k2 long, shingles binary").join(asked, ["rep", "k1", "k2"]).groupBy("node").agg(F.first("shingles").alias("shingles"))
+    checked = kept.join(sets, "node").select("tile", "band", "side", "node", "sig", "copies", "shingles")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches):
-            tile, band, sides, rep = (table.column(k).to_numpy() for k in range(4))
+            tile, band, sides, node = (table.column(k).to_numpy() for k in range(4))
             copies = table.column(5).to_numpy()
-            again = np.zeros(len(tile), bool)  # rows that came twice with their doc_id
-            order = np.lexsort((rep, tile))
-            again[order[1:]] = (tile[order[1:]] == tile[order[:-1]]) & (rep[order[1:]] == rep[order[:-1]])
             sets = [np.frombuffer(x, np.uint64) for x in table.column(6).to_pylist()]
             links = np.zeros(len(tile), np.int64)
             found: list[tuple[np.ndarray, np.ndarray]] = []
             for i, j in surviving(tile, band, sides, _signatures(table.column(4)), least):
-                fresh = ~again[i] & ~again[j]
-                i, j = i[fresh], j[fresh]
                 # a tile at a time: pairs come in the order of their tiles
                 edge = np.flatnonzero(np.concatenate([[True], tile[i[1:]] != tile[i[:-1]]])) if len(i) else np.zeros(0, np.int64)
                 for a, b in zip(edge, np.append(edge[1:], len(i)), strict=True):
@@ -288,28 +296,47 @@ def ngram_links(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
                     found.append((x, y))
             hit = np.flatnonzero(links)
             if len(hit):
-                order = np.argsort(rep, kind="stable")
+                order = np.argsort(node, kind="stable")
                 place = np.empty(len(order), np.int64)
                 place[order] = np.arange(len(order))
-                root = rep[order][roots(len(rep), [(place[a], place[b]) for a, b in found])][place]
-                yield pa.RecordBatch.from_arrays([pa.array(rep[hit]), pa.array(links[hit]), pa.array(root[hit])], ["rep", "links", "root"])
-
-    found = materialise(dealt(checked).mapInArrow(linked, "rep long, links long, root long"), "links")
-    sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    comp = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    state = classes.select("k1", "k2", "rep", "copies").join(sums, "rep", "left").join(comp, F.col("rep") == comp.node, "left")
-    state = state.select("k1", "k2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("class_id"))
-    state = materialise(state.where("n_links > 0"), "class-state")
-    out = feats.select("doc_id", "k1", "k2").join(state, ["k1", "k2"], "left")
-    out = out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"))
+                root = node[order][roots(len(node), [(place[a], place[b]) for a, b in found])][place]
+                yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(links[hit]), pa.array(root[hit])], ["node", "links", "root"])
+
+    found = materialise(mapped(dealt(checked), "ngram_join", linked, "node long, links long, root long"), "links")
+    sums = found.groupBy("node").agg(F.sum("links").alias("links"))
+    comp = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "_node")
+    state = classes.select("k1", "k2", "rep", "node", "copies").join(sums, "node", "left").join(comp, F.col("node") == F.col("_node"), "left")
+    state = state.select("k1", "k2", "rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component")).where("n_links > 0")
+    state = materialise(state, "class-state")
+    names = state.groupBy("component").agg(F.min("rep").alias("class_id"))
+    state = materialise(state.join(names, "component").select("k1", "k2", "component", "class_id", "n_links"), "class-names")
+    rows = feats.where("doc_id is not null").select("doc_id", "t", "k1", "k2").join(state, ["k1", "k2"], "left")
+    return rows.unionByName(feats.where("doc_id is null").select("doc_id", "t"), allowMissingColumns=True).select("doc_id", "t", "component", "class_id", "n_links")
+
+
+def ngram_links(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """docs (doc_id, text, ...) -> doc_id, class_id, n_links, kept: a row for each row.
+
+    n_links: other documents at threshold or above; class_id: the least doc_id that links reach; kept: doc_id = class_id.
+    """
+    rows = linked_rows(docs, threshold, tolerance)
+    out = rows.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each group of linked documents, the one of the least doc_id. Columns stay; rows with a null doc_id stay."""
+    """docs with one row of each group of linked documents: that of the least doc_id, then text hash. Columns stay, and so do rows without a link, null doc_ids among them.
+
+    Rows that share a doc_id go only if they are linked. Of the texts' rows only those to drop are dealt out, by (doc_id, text hash); the rows of docs meet them once.
+    """
     names = docs.columns
-    gone = ngram_links(docs, **options).where("not kept").select(F.col("doc_id").alias("_palaver_id")).distinct()
-    rest = docs.join(gone, docs["doc_id"].cast("long") == gone["_palaver_id"], "left_anti")
-    first = W.partitionBy("doc_id").orderBy("text")
-    numbered = rest.where("doc_id is not null").withColumn("_palaver_n", F.row_number().over(first)).where("_palaver_n = 1").select(*[F.col(f"`{n}`") for n in names])
-    return numbered.unionByName(rest.where("doc_id is null"))
+    rows = materialise(linked_rows(docs, **options).where("component is not null").groupBy("component", "doc_id", "t").agg(F.count(F.lit(1)).alias("m")), "linked-rows")
+    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "t")).alias("first"))
+    rows = rows.join(first, "component").select("doc_id", "t", "m", (F.struct("doc_id", "t") == F.col("first")).alias("stays"))
+    # a row that stays but has repeats is taken out with them, and one of them put back
+    gone = materialise(rows.where("not stays or m > 1").select(F.col("doc_id").alias("_palaver_id"), F.col("t").alias("_palaver_t"), F.col("stays").alias("_palaver_back")), "linked-gone")
+    this = (docs["doc_id"].cast("long") == F.col("_palaver_id")) & (text_id() == F.col("_palaver_t"))
+    rest = docs.join(gone.drop("_palaver_back").hint("shuffle_hash"), this, "left_anti")
+    again = docs.join(gone.where("_palaver_back").hint("shuffle_hash"), this)
+    again = again.withColumn("_palaver_n", F.row_number().over(W.partitionBy("_palaver_id", "_palaver_t").orderBy(F.lit(0)))).where("_palaver_n = 1")
+    return rest.unionByName(again.select(*[F.col(f"`{n}`") for n in names]))

@@ -2,6 +2,7 @@ import random
 import re
 from math import comb
 
+import numpy as np
 import pytest
 
 from palaver.llm import ngram_join as nj
@@ -63,6 +64,44 @@ def test_edges(spark):
     assert kept.columns == df.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 4]
 
 
+def test_rows_that_share_a_doc_id(spark):
+    """Only linked rows go; a doc_id with other texts keeps them."""
+    a, b, c = "one two three four five six seven", "red green blue black white brown grey", "up down left right in out over"
+    rows = [(7, a), (7, b), (7, b), (8, A := a.upper()), (9, c), (9, c), (3, b), (None, a), (None, a)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sorted((r["doc_id"] or 0, r["class_id"] or 0, r["n_links"]) for r in nj.ngram_links(df).collect())
+    assert got == [(0, 0, 0), (0, 0, 0), (3, 3, 2), (7, 3, 2), (7, 3, 2), (7, 7, 1), (8, 7, 1), (9, 9, 1), (9, 9, 1)]
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in nj.keep_one(df).collect())
+    assert kept == [(0, a), (0, a), (3, b), (7, a), (9, c)] and A not in [t for _, t in kept]
+
+
+def test_first_key_is_judged_on_the_values_of_the_keys():
+    """Bands that agree in a signature share their key, so no pair waits for a key under which it never meets."""
+    full = nj.signature(np.arange(1 << 20, 1 << 22, 4099, dtype=np.uint64) << np.uint64(30))
+    x = (full & np.uint32(0xFFFF)).astype("<u2")
+    y = x.copy()
+    y[4:] += np.uint16(1)
+    same = (x[: nj.BANDS * nj.ROWS] == y[: nj.BANDS * nj.ROWS]).reshape(nj.BANDS, nj.ROWS).all(axis=1)
+    assert same.tolist() == [True] + [False] * (nj.BANDS - 1) and ((nj.band_keys(x) == nj.band_keys(y)) == same).all()
+
+
+def test_hot_group(spark, monkeypatch):
+    """A group of near copies in many small tiles, by brute force."""
+    monkeypatch.setattr(nj, "TILE", 16)
+    r = random.Random(4)
+    words = [f"w{k}" for k in range(300)]
+    base = [r.choice(words) for _ in range(90)]
+    docs = []
+    for k in range(260):
+        t = list(base)
+        t[r.randrange(90)] = f"x{k}"
+        docs.append((k, " ".join(t)))
+    docs += [(1000 + k, " ".join(r.choice(words) for _ in range(60))) for k in range(40)]
+    got = {x["doc_id"]: (x["class_id"], x["n_links"], x["kept"]) for x in nj.ngram_links(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert got == brute(docs)
+    assert nj.keep_one(spark.createDataFrame(docs, SCHEMA)).count() == 41
+
+
 def test_posterior():
     """The fewest matches that leave the tolerance, by numeric integration of the posterior."""
     least = nj.least_matches(0.8, 1e-6)
