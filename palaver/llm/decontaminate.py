@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import LOWER, blocks, mix, span_hash, text_buffer, word_spans
+from .common import LOWER, blocks, mapped, mix, span_hash, text_buffer, word_spans
 
 WINDOW, LEAST, LITERAL = 8, 5, 3
 COVER, RUN = 0.5, 13
@@ -278,7 +278,7 @@ def _pass(docs: DataFrame, names: list[str], bench: Benchmark) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(ids, pa.list_(pa.int64())), pa.array(cover, pa.float64())], [*batch.schema.names[: len(names)], "item_ids", "coverage"])
 
     fields = docs.schema.fields[: len(names)]
-    return docs.mapInArrow(run, StructType([*fields, StructField("item_ids", ArrayType(LongType())), StructField("coverage", DoubleType())]))
+    return mapped(docs, "decontaminate", run, StructType([*fields, StructField("item_ids", ArrayType(LongType())), StructField("coverage", DoubleType())]))
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

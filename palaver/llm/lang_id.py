@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import blocks, crc_text, sorted_counts, text_buffer, worker_of
+from .common import blocks, crc_text, mapped, sorted_counts, text_buffer
 
 #: N-grams in a profile.
 PROFILE = 400
@@ -84,7 +84,6 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     """docs (text, lang) -> lang, gram, n: partial counts of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_of("lang_id")
         for batch in batches:
             buf, offsets = text_buffer(batch.column(0))
             lang = np.array(batch.column(1).to_pylist(), object)
@@ -106,7 +105,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                 if len(edge):
                     yield pa.RecordBatch.from_arrays([pa.array([value] * len(edge), pa.string()), pa.array(every[edge].view(np.int64)), pa.array(np.add.reduceat(n, edge).astype(np.int64))], ["lang", "gram", "n"])
 
-    return docs.select("text", "lang").mapInArrow(run, "lang string, gram long, n long")
+    return mapped(docs.select("text", "lang"), "lang_id", run, "lang string, gram long, n long")
 
 
 def train(docs: DataFrame) -> dict[str, list[int]]:
@@ -134,7 +133,6 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
         places[np.searchsorted(model, p), k] = np.arange(len(p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_of("lang_id")
         for batch in batches:
             buf, offsets = text_buffer(batch.column(text))
             pred: list[str] = []
@@ -162,7 +160,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
             columns = [*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "lang_pred", "score"])
 
-    return frame.mapInArrow(run, StructType([*frame.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return mapped(frame, "lang_id", run, StructType([*frame.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def fold(modulus: int = 3, rest: int = 1) -> Column:

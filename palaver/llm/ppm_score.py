@@ -31,7 +31,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, crc_text, materialise, scratch, sorted_counts, span_hash, text_buffer, word_spans, worker_of
+from .common import LOWER, blocks, crc_text, mapped, materialise, scratch, sorted_counts, span_hash, text_buffer, word_spans, worker_of
 
 #: Bytes of context.
 ORDER = 4
@@ -95,7 +95,7 @@ def counts(docs: DataFrame) -> DataFrame:
                 total = np.add.reduceat(n, edge).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(edge), kind, np.int32)), pa.array(keys[edge].view(np.int64)), pa.array(total), pa.array(total if learned else np.zeros(len(edge), np.int64))], ["kind", "key", "n", "learned"])
 
-    return docs.select("text", "held_out").mapInArrow(run, COUNTS)
+    return mapped(docs.select("text", "held_out"), "ppm_score", run, COUNTS)
 
 
 def code_lengths(table: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def score(docs: DataFrame, modulus: int = 7, rest: int = 2, held: int = HELD) ->
             integers = [pa.array(x.astype(np.int64)) for x in (n, seen, np.full(len(n), tokens))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *integers, pa.array(base), pa.array(lm), pa.array(size.astype(np.int64))], SCHEMA_NAMES)
 
-    return slim.mapInArrow(run, SCHEMA)
+    return mapped(slim, "ppm_score", run, SCHEMA)
 
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"

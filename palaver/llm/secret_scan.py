@@ -7,7 +7,8 @@ have no keyword; their prefilter looks at every 32nd character, since a run of 3
 checksum are reported only if it holds.
 
 Defined results: null or empty text has no span; spans are code points, end exclusive; very long texts are scanned whole; equal rows
-give equal rows; other columns of the input are not used, so their names can't clash.
+give equal rows, and a null doc_id a row with a null doc_id;
+other columns of the input are not used, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import mapped
+
 # The base kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -126,4 +129,4 @@ def scan_documents(docs: DataFrame) -> DataFrame:
             columns = [batch.column(0), pa.array(n_assign, pa.int64()), pa.array(n_access, pa.int64()), pa.array(n_hex, pa.int64()), pa.array(sha, pa.string()), pa.array(every, pa.string()), pa.array(checked, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_checked"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return mapped(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), "secret_scan", run, SCHEMA)
