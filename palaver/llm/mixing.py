@@ -81,13 +81,16 @@ def _importance(importance: str | None) -> Column:
     return F.greatest(F.coalesce(F.col(importance).cast("double"), F.lit(0.0)), F.lit(0.0)) if importance else F.lit(1.0)
 
 
-def cuts(docs: DataFrame, weights: tuple[float, ...], ratio: float, most: float, seed: int, importance: str | None) -> DataFrame:
+def _sizes(docs: DataFrame, importance: str | None) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", text_key().alias("text_key"), word_count(F.col("text")).alias("size"), _importance(importance).alias("_imp"))
+    return materialise(rows, "mix-sizes")
+
+
+def cuts(slim: DataFrame, weights: tuple[float, ...], ratio: float, most: float, seed: int) -> DataFrame:
     """One row for each source: source, source_size, target, _mass, _bin, and the last document taken: _last (rank, doc_id, text_key) and how many of its equals, _some.
 
     _bin is null where the rest of the source is taken; documents in cells before it are taken.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", text_key().alias("text_key"), word_count(F.col("text")).alias("size"), _importance(importance).alias("_imp"))
-    slim = materialise(slim, "mix-sizes")
     sums = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("_imp") * F.col("size")).alias("_mass"))
     targets = source_targets(sums.select("source", "source_size"), weights, ratio, most)
     targets = materialise(sums.alias("a").join(targets.alias("b"), _same("a", "b")).select("a.source", "a._mass", "b.source_size", "b.target"), "mix-targets")
@@ -138,15 +141,16 @@ def mix_copies(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ratio: f
 
     importance: a positive column; expected copies are proportional to it within a source (null or less than 0: 0), none above `most`.
     """
-    by_source = cuts(docs, weights, ratio, most, seed, importance)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", text_key().alias("text_key"), word_count(F.col("text")).alias("size"), _importance(importance).alias("_imp"))
-    out = _decided(rows, by_source, most, seed)
+    slim = _sizes(docs, importance)
+    out = _decided(slim, cuts(slim, weights, ratio, most, seed), most, seed)
     return out.select("doc_id", "source", "text_key", "size", "source_size", "target", F.col("_copies").alias("copies"), (F.col("_copies") * F.col("size")).alias("taken"))
 
 
 def apply_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ratio: float = 1.5, most: float = 2.0, seed: int = 17, importance: str | None = None) -> DataFrame:
     """docs with each row as often as the mix takes it; size 0 documents go. The columns stay as they are."""
-    by_source = cuts(docs, weights, ratio, most, seed, importance)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", text_key().alias("text_key"), word_count(F.col("text")).alias("size"), _importance(importance).alias("_imp"), F.struct(*[F.col(f"`{n}`").alias(f"c{k}") for k, n in enumerate(docs.columns)]).alias("_row"))
+    by_source = cuts(_sizes(docs, importance), weights, ratio, most, seed)
+    # here a text's size matters only as none or some
+    some = F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False)).cast("int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", text_key().alias("text_key"), some.alias("size"), _importance(importance).alias("_imp"), F.struct(*[F.col(f"`{n}`").alias(f"c{k}") for k, n in enumerate(docs.columns)]).alias("_row"))
     out = _decided(rows, by_source, most, seed).where("_copies > 0 and size > 0")
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(f"_row.c{k}").alias(n) for k, n in enumerate(docs.columns)])

@@ -229,11 +229,14 @@ def _signatures(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def linked_rows(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, t (the text's hash), component, class_id, n_links: a row for each row; the last three are null where there is no link."""
+    """docs (doc_id, text, ...) -> doc_id, t (the text's hash), component, class_id, n_links, first: a row for each row; the last four are null where there is no link.
+
+    first: a row of the component's least doc_id, in the class that names the component.
+    """
     least = least_matches(threshold, tolerance)
     feats = materialise(features(docs), "features")
-    classes = feats.where("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    classes = feats.where("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "t")).alias("pick"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = materialise(classes.select(F.monotonically_increasing_id().alias("node"), F.col("pick.doc_id").alias("rep"), F.col("pick.t").alias("t"), "k1", "k2", "copies", "n", "sig", "bands"), "classes")
 
     rows = band_rows(classes)
     cuts = F.greatest(F.ceil(F.col("m") / F.lit(TILE)), F.ceil(F.col("size") / F.lit(TILE_SHINGLES)))
@@ -244,7 +247,7 @@ def linked_rows(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     low, high = F.least("block", "other"), F.greatest("block", "other")
     side = F.when(low == high, 0).when(F.col("block") == low, 1).otherwise(2)
     met = met.select(F.xxhash64("key", low, high).alias("tile"), "band", side.cast("int").alias("side"), "node")
-    with_sig = met.join(classes.select("node", "sig", "copies"), "node").select("tile", "band", "side", "node", "sig", "copies")
+    with_sig = met.join(classes.select("node", "rep", "sig", "copies"), "node").select("tile", "band", "side", "node", "sig", "copies", "rep")
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches):
@@ -260,28 +263,30 @@ def linked_rows(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(n, "tile").sortWithinPartitions("tile")
 
-    kept = materialise(mapped(dealt(with_sig), "ngram_join", wanted, "tile long, band int, side int, node long, sig binary, copies long"), "candidates")
+    kept = materialise(mapped(dealt(with_sig), "ngram_join", wanted, "tile long, band int, side int, node long, sig binary, copies long, rep long"), "candidates")
     # the plan is the same at every size: texts are dealt by id once, and candidates, which grow with the corpus, are never broadcast
-    asked = classes.join(kept.select("node").distinct(), "node", "left_semi").select("node", "rep", "k1", "k2")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(asked.select("rep").distinct().hint("shuffle_hash"), "rep", "left_semi")
+    asked = classes.join(kept.select("node").distinct(), "node", "left_semi").select("node", "rep", "t")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_id().alias("t"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(asked.hint("shuffle_hash"), ["rep", "t"]).select("node", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = text_buffer(batch.column(1))
             for first, end, part, at in blocks(buf, offsets):
-                sets = list(shingles(part, at))
-                keys = [set_key(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), *(pa.array([k[c] for k in keys], pa.int64()) for c in (0, 1)), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "k1", "k2", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array([s.tobytes() for s in shingles(part, at)], pa.binary())], ["node", "shingles"])
 
-    sets = mapped(texts, "ngram_join", cut, "rep long, k1 long, k2 long, shingles binary").join(asked, ["rep", "k1", "k2"]).groupBy("node").agg(F.first("shingles").alias("shingles"))
-    checked = kept.join(sets, "node").select("tile", "band", "side", "node", "sig", "copies", "shingles")
+    sets = mapped(texts, "ngram_join", cut, "node long, shingles binary")
+    checked = kept.join(sets, "node").select("tile", "band", "side", "node", "sig", "copies", "rep", "shingles")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches):
+            order = np.lexsort((table.column(3).to_numpy(), table.column(0).to_numpy()))
+            once = order[np.concatenate([[True], (np.diff(table.column(0).to_numpy()[order]) != 0) | (np.diff(table.column(3).to_numpy()[order]) != 0)])]
+            if len(once) < len(order):  # a row of docs that is there twice brings its class twice
+                table = table.take(pa.array(np.sort(once)))
             tile, band, sides, node = (table.column(k).to_numpy() for k in range(4))
-            copies = table.column(5).to_numpy()
-            sets = [np.frombuffer(x, np.uint64) for x in table.column(6).to_pylist()]
+            copies, rep = table.column(5).to_numpy(), table.column(6).to_numpy()
+            sets = [np.frombuffer(x, np.uint64) for x in table.column(7).to_pylist()]
             links = np.zeros(len(tile), np.int64)
             found: list[tuple[np.ndarray, np.ndarray]] = []
             for i, j in surviving(tile, band, sides, _signatures(table.column(4)), least):
@@ -296,22 +301,24 @@ def linked_rows(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
                     found.append((x, y))
             hit = np.flatnonzero(links)
             if len(hit):
-                order = np.argsort(node, kind="stable")
+                order = np.lexsort((node, rep))  # the least class of a component is that of its least doc_id
                 place = np.empty(len(order), np.int64)
                 place[order] = np.arange(len(order))
-                root = node[order][roots(len(node), [(place[a], place[b]) for a, b in found])][place]
-                yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(links[hit]), pa.array(root[hit])], ["node", "links", "root"])
+                root = order[roots(len(node), [(place[a], place[b]) for a, b in found])][place][hit]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[hit], rep[hit], links[hit], node[root], rep[root])], ["node", "rep", "links", "root", "root_rep"])
 
-    found = materialise(mapped(dealt(checked), "ngram_join", linked, "node long, links long, root long"), "links")
+    found = materialise(mapped(dealt(checked), "ngram_join", linked, "node long, rep long, links long, root long, root_rep long"), "links")
     sums = found.groupBy("node").agg(F.sum("links").alias("links"))
-    comp = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "_node")
+    # a node is (doc_id, class), so that a component's least node names it
+    edges = found.where("node <> root").select(F.struct("rep", "node").alias("a"), F.struct(F.col("root_rep").alias("rep"), F.col("root").alias("node")).alias("b"))
+    comp = components(edges).select(F.col("node.node").alias("_node"), "component")
     state = classes.select("k1", "k2", "rep", "node", "copies").join(sums, "node", "left").join(comp, F.col("node") == F.col("_node"), "left")
-    state = state.select("k1", "k2", "rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component")).where("n_links > 0")
-    state = materialise(state, "class-state")
-    names = state.groupBy("component").agg(F.min("rep").alias("class_id"))
-    state = materialise(state.join(names, "component").select("k1", "k2", "component", "class_id", "n_links"), "class-names")
+    top = F.coalesce(F.col("component.node"), F.col("node"))
+    state = state.select("k1", "k2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), top.alias("component"), F.coalesce("component.rep", "rep").alias("class_id"), (top == F.col("node")).alias("_top"))
+    state = materialise(state.where("n_links > 0"), "class-state")
     rows = feats.where("doc_id is not null").select("doc_id", "t", "k1", "k2").join(state, ["k1", "k2"], "left")
-    return rows.unionByName(feats.where("doc_id is null").select("doc_id", "t"), allowMissingColumns=True).select("doc_id", "t", "component", "class_id", "n_links")
+    rows = rows.select("doc_id", "t", "component", "class_id", "n_links", (F.col("_top") & (F.col("doc_id") == F.col("class_id"))).alias("first"))
+    return rows.unionByName(feats.where("doc_id is null").select("doc_id", "t"), allowMissingColumns=True)
 
 
 def ngram_links(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
@@ -330,13 +337,14 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Rows that share a doc_id go only if they are linked. Of the texts' rows only those to drop are dealt out, by (doc_id, text hash); the rows of docs meet them once.
     """
     names = docs.columns
-    rows = materialise(linked_rows(docs, **options).where("component is not null").groupBy("component", "doc_id", "t").agg(F.count(F.lit(1)).alias("m")), "linked-rows")
-    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "t")).alias("first"))
-    rows = rows.join(first, "component").select("doc_id", "t", "m", (F.struct("doc_id", "t") == F.col("first")).alias("stays"))
+    rows = materialise(linked_rows(docs, **options).where("component is not null").groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("m"), F.first("first").alias("first"), F.first("component").alias("component")), "linked-rows")
+    # of texts with one set of shingles under the least doc_id, the first by hash stays
+    stays = rows.where("first").groupBy("doc_id", "component").agg(F.min("t").alias("t")).select("doc_id", "t", F.lit(True).alias("_stays"))
+    rows = rows.join(stays, ["doc_id", "t"], "left").select("doc_id", "t", "m", F.coalesce("_stays", F.lit(False)).alias("stays"))
     # a row that stays but has repeats is taken out with them, and one of them put back
     gone = materialise(rows.where("not stays or m > 1").select(F.col("doc_id").alias("_palaver_id"), F.col("t").alias("_palaver_t"), F.col("stays").alias("_palaver_back")), "linked-gone")
     this = (docs["doc_id"].cast("long") == F.col("_palaver_id")) & (text_id() == F.col("_palaver_t"))
     rest = docs.join(gone.drop("_palaver_back").hint("shuffle_hash"), this, "left_anti")
-    again = docs.join(gone.where("_palaver_back").hint("shuffle_hash"), this)
+    again = docs.join(gone.where("_palaver_back"), this)
     again = again.withColumn("_palaver_n", F.row_number().over(W.partitionBy("_palaver_id", "_palaver_t").orderBy(F.lit(0)))).where("_palaver_n = 1")
     return rest.unionByName(again.select(*[F.col(f"`{n}`") for n in names]))
