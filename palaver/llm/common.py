@@ -92,6 +92,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete what `materialise` wrote for tables that nothing reads any more, in the shared folder only."""
+    for df in tables:
+        spark = df.sparkSession
+        for uri in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+            if "/palaver/" in uri and path.getParent().getName() == "palaver":
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def parts(df: DataFrame, each: int = 128 << 20) -> int:
     """Partitions to deal df's rows out to: Spark's setting, and more where the files that it comes from would give a partition more than `each` bytes."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

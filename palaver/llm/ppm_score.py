@@ -11,12 +11,14 @@ document, level by level, with joins over the trie's tables. Scoring a document
 
 Beside it stands the base score: unigram counts of words with add-one smoothing. Words are told apart by 64-bit hashes.
 
-Both tables (grams' code lengths, words' counts) go to the shared folder. If neither has more than HELD rows, each Python worker reads them once and
-looks documents up in memory, at most HELD * 16 bytes for each table; else documents' grams and words are joined with them in a shuffle. Both ways
-give the same results.
+Documents are dealt into batches of at most BATCH_BYTES of text and BATCH_ROWS distinct grams and words, whichever comes first. A batch's distinct grams and words,
+with counts, are what is gathered from the corpus; joined with the code lengths and the words' counts they become the batch's own look-up table, a file in the
+shared folder, and a task scores a batch with that table alone. So a task's memory is bounded whatever the corpus holds, the plan is the same at every
+size, and what is shuffled is a batch's distinct grams and words, never its text.
 
 Defined results: a null or empty text is its end alone (one token). With no training document: counts are 0, base_score is n_tokens * log10(1 / 1), so 0, and each
-byte costs log10(256). held_out is false for a null doc_id. Repeated rows are scored (and learned) each; texts are read whole. Other columns aren't used.
+byte costs log10(256). held_out is false for a null doc_id, which is scored like others. Repeated rows are scored (and learned) each; texts are read whole. Other
+columns aren't used, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,23 +28,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset as pads
-from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, crc_text, mapped, materialise, scratch, sorted_counts, span_hash, text_buffer, word_spans, worker_of
+from .common import LOWER, blocks, crc_text, discard, mapped, materialise, parts, scratch, sorted_counts, span_hash, text_buffer, word_spans
+from .token_store import opened, whole_file
 
 #: Bytes of context.
 ORDER = 4
 EDGE = 0xFF
-#: Rows of a table up to which workers hold it in memory.
-HELD = 16 << 20
+#: Text and distinct grams and words of a batch.
+BATCH_BYTES, BATCH_ROWS = 64 << 20, 3 << 20
 #: Stands for the end of a text among the words' hashes.
 END_WORD = np.uint64(0x5EED0E4DF00D1234)
 
-COUNTS = "kind int, key long, n long, learned long"
-_cache: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+BATCHED = "batch long, doc_id long, held_out boolean, text string, kind int, key long, learned long"
+LOOKED = "batch long, kind int, key long, value double"
 
 
 def grams(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,34 +70,73 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return span_hash(buf, starts, ends), first
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """docs (text, held_out) -> kind (0 gram, 1 word), key, n, learned (in training documents): sums of each batch."""
+class _Bag:
+    """Distinct grams (kind 0) and words (kind 1) of a batch, and how often each is in training documents."""
+
+    def __init__(self) -> None:
+        self.held: tuple[list, list] = ([], [])
+        self.rows = self.compact_rows = self.size = 0
+
+    def add(self, kind: int, keys: np.ndarray, learned: np.ndarray) -> None:
+        self.held[kind].append((keys, learned))
+        self.rows += len(keys)
+
+    def compact(self) -> None:
+        for some in self.held:
+            if len(some) > 1:
+                keys, n = (np.concatenate([x[c] for x in some]) for c in (0, 1))
+                order = np.argsort(keys, kind="stable")
+                keys, n = keys[order], n[order]
+                edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+                some[:] = [(keys[edge], np.add.reduceat(n, edge) if len(edge) else n)]
+        self.rows = self.compact_rows = sum(len(k) for some in self.held for k, _ in some)
+
+    def full(self) -> bool:
+        if self.rows - self.compact_rows > BATCH_ROWS // 3:
+            self.compact()
+        return self.size >= BATCH_BYTES or self.compact_rows >= BATCH_ROWS * 2 // 3
+
+    def out(self, batch: int) -> Iterator[pa.RecordBatch]:
+        self.compact()
+        for kind, some in enumerate(self.held):
+            for keys, n in some:
+                for a in range(0, len(keys), 1 << 16):
+                    k = keys[a : a + (1 << 16)]
+                    none = [pa.nulls(len(k), t) for t in (pa.int64(), pa.bool_(), pa.string())]
+                    yield _record([pa.array(np.full(len(k), batch)), *none, pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n[a : a + (1 << 16)].astype(np.int64))], BATCHED)
+
+
+def _record(columns: list[pa.Array], schema: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
+
+
+def batched(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, held_out, text) -> BATCHED: their rows with the batch they fell into (kind is null), and the batches' distinct grams and words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, bag = TaskContext.get().partitionId() << 32, _Bag()
         for batch in batches:
-            buf, offsets = text_buffer(batch.column(0))
+            buf, offsets = text_buffer(batch.column(2))
             learn = ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            some: dict[tuple[int, bool], list[tuple[np.ndarray, np.ndarray]]] = {}
             for first, end, part, at in blocks(buf, offsets):
                 low = LOWER[part]
                 for kind, (values, begin) in enumerate((grams(low, at), words(low, at))):
                     mine = np.repeat(learn[first:end], np.diff(begin))
-                    some.setdefault((kind, True), []).append(sorted_counts(values[mine]))
-                    if not kind:
-                        some.setdefault((kind, False), []).append(sorted_counts(values[~mine]))
-            if learn.any():
-                some.setdefault((1, True), []).append((np.array([END_WORD]), np.array([int(learn.sum())])))
-            for (kind, learned), lists in some.items():
-                keys, n = np.concatenate([k for k, _ in lists]), np.concatenate([v for _, v in lists])
-                if not len(keys):
-                    continue
-                order = np.argsort(keys, kind="stable")
-                keys, n = keys[order], n[order]
-                edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-                total = np.add.reduceat(n, edge).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(edge), kind, np.int32)), pa.array(keys[edge].view(np.int64)), pa.array(total), pa.array(total if learned else np.zeros(len(edge), np.int64))], ["kind", "key", "n", "learned"])
-
-    return mapped(docs.select("text", "held_out"), "ppm_score", run, COUNTS)
+                    keys, n = sorted_counts(values[mine])
+                    bag.add(kind, keys, n)
+                    keys, _ = sorted_counts(values[~mine])
+                    bag.add(kind, keys, np.zeros(len(keys), np.int64))
+                n = end - first
+                bag.add(1, np.array([END_WORD]), np.array([int(learn[first:end].sum())]))
+                bag.size += len(part)
+                rows = [batch.column(k).slice(first, n) for k in range(3)]
+                yield _record([pa.array(np.full(n, number)), *rows, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], BATCHED)
+                if bag.full():
+                    yield from bag.out(number)
+                    number, bag = number + 1, _Bag()
+        yield from bag.out(number)
+
+    return mapped(docs.select("doc_id", "held_out", "text"), "ppm_score", run, BATCHED)
 
 
 def code_lengths(table: DataFrame) -> DataFrame:
@@ -116,6 +157,7 @@ def code_lengths(table: DataFrame) -> DataFrame:
         else:
             t = t.withColumn("_c", F.lit(0).cast("long"))
         nodes[k] = materialise(t.groupBy("context").agg(F.sum("learned").alias("total"), F.count(F.lit(1)).alias("distinct"), F.sum("_c").alias("out_total")), f"nodes{k}")
+    scratch_tables = [*trie.values(), *nodes.values()]
     q = table.select("key", F.lit(0.0).alias("cost"), F.lit(False).alias("done"), F.lit(0).cast("long").alias("gone"), F.lit(0).cast("long").alias("gone_n"))
     for k in range(ORDER, -1, -1):
         mask = (1 << 8 * (k + 1)) - 1
@@ -135,25 +177,54 @@ def code_lengths(table: DataFrame) -> DataFrame:
             F.when(escape, F.col("out_total")).otherwise(F.lit(0)).cast("long").alias("gone"),
             F.when(escape, F.col("distinct")).otherwise(F.lit(0)).cast("long").alias("gone_n"),
         )
-        q = materialise(q, f"codes{k}")
+        done, q = q, materialise(q, f"codes{k}")
+        discard(*([done] if k < ORDER else []))
+    discard(*scratch_tables)
     return q.select("key", (F.col("cost") + F.when(F.col("done"), 0.0).otherwise(-F.log10(F.greatest(F.lit(1), 256 - F.col("gone_n"))))).alias("cost"))
 
 
-def _forget() -> None:
-    _cache.clear()
+def write_tables(looked: DataFrame, folder: str) -> int:
+    """looked (LOOKED) -> a file for each batch: numbers of grams and words, their keys in order, their values. Returns the number of files."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, n = None, [], 0
+
+        def write() -> None:
+            kind, key, value = (np.concatenate([h[c] for h in held]) for c in range(3))
+            key = key.view(np.uint64)
+            order = np.lexsort((key, kind))
+            with whole_file(f"{folder}/{now}.bin") as f:
+                for x in (np.bincount(kind, minlength=2).astype("<i8"), key[order].astype("<u8"), value[order].astype("<f8")):
+                    f.write(x.tobytes())
 
-def _load(path: str, column: str) -> tuple[np.ndarray, np.ndarray]:
-    """A table's keys in order and its values, read once by each process."""
-    if path not in _cache:
-        if len(_cache) > 3:
-            _cache.clear()
-        store, inner = pafs.FileSystem.from_uri(path)
-        table = pads.dataset(inner, filesystem=store, format="parquet").to_table(columns=["key", column])
-        keys, values = table.column("key").to_numpy().view(np.uint64), table.column(column).to_numpy()
-        order = np.argsort(keys)
-        _cache[path] = keys[order], values[order]
-    return _cache[path]
+        for batch in batches:
+            number, *rest = (c.to_numpy() for c in batch.columns)
+            edge = np.concatenate([[0], np.flatnonzero(np.diff(number)) + 1, [len(number)]])
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                if a == b:
+                    continue
+                if held and number[a] != now:
+                    write()
+                    n, held = n + 1, []
+                now = int(number[a])
+                held.append([x[a:b] for x in rest])
+        if held:
+            write()
+            n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    dealt = looked.repartition(parts(looked), "batch").sortWithinPartitions("batch")
+    return sum(r["n"] for r in mapped(dealt, "ppm_score", run, "n long").collect())
+
+
+def _load(uri: str) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """A batch's grams and words, each as keys in order and values."""
+    store, path = opened(uri)
+    with store.open_input_file(path) as f:
+        data = f.read()
+    n, m = np.frombuffer(data, "<i8", 2).tolist()
+    keys, values = np.frombuffer(data, "<u8", n + m, 16), np.frombuffer(data, "<f8", n + m, 16 + 8 * (n + m))
+    return (keys[:n], values[:n]), (keys[n:], values[n:])
 
 
 def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -174,65 +245,49 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total
 
 
-def score(docs: DataFrame, modulus: int = 7, rest: int = 2, held: int = HELD) -> DataFrame:
+def score(docs: DataFrame, modulus: int = 7, rest: int = 2) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes."""
+    spark = docs.sparkSession
     out = F.coalesce(F.pmod(crc_text(), F.lit(modulus)) == rest, F.lit(False))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out"), F.col("text").cast("string").alias("text"))
-    spark = docs.sparkSession
-    every = materialise(counts(slim).groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("learned").alias("learned")), "lm-counts")
-    sizes = {r["kind"]: r for r in every.groupBy("kind").agg(F.count(F.lit(1)).alias("rows"), F.sum("learned").alias("learned")).collect()}
-    tokens, vocabulary = (sizes[1]["learned"], sizes[1]["rows"]) if 1 in sizes else (0, 0)
-    unit = math.log10(tokens + vocabulary + 1)
-    costs_at, words_at = scratch(spark, "lm-costs"), scratch(spark, "lm-words")
-    code_lengths(every.where("kind = 0").select("key", "learned")).write.parquet(costs_at)
-    every.where("kind = 1").select("key", "learned").write.parquet(words_at)
-    if max([r["rows"] for r in sizes.values()], default=0) > held:
-        return _joined(slim, spark.read.parquet(costs_at), spark.read.parquet(words_at), tokens, unit)
+    every = materialise(batched(slim), "lm-batches")
+    bag = every.where("kind is not null").select("batch", "kind", "key", "learned")
+    sums = materialise(bag.groupBy("kind", "key").agg(F.sum("learned").alias("learned")), "lm-counts")
+    known = sums.where("kind = 1 and learned > 0").select("key", "learned")
+    r = known.agg(F.sum("learned").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.col("key") == int(END_WORD.astype(np.int64)), F.col("learned"))).alias("ends")).first()
+    tokens, unit, end = r["n"] or 0, math.log10((r["n"] or 0) + r["v"] + 1), float(r["ends"] or 0)
+    costs = code_lengths(sums.where("kind = 0").select("key", "learned"))
+    values = costs.select(F.lit(0).alias("kind"), "key", F.col("cost").alias("value")).unionByName(known.select(F.lit(1).alias("kind"), "key", F.col("learned").cast("double").alias("value")))
+    folder = scratch(spark, "lm-tables")
+    write_tables(bag.select("batch", "kind", "key").join(values, ["kind", "key"]).select("batch", "kind", "key", "value"), folder)
+    discard(sums, costs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_of("ppm_score", _forget)
-        costs, known = _load(costs_at, "cost"), _load(words_at, "learned")
-        end = float(_found(*known, np.array([END_WORD]))[0])
+        now, table = None, None
         for batch in batches:
-            buf, offsets = text_buffer(batch.column(2))
-            results: list[tuple[np.ndarray, ...]] = []
-            for _, _, part, at in blocks(buf, offsets):
-                low = LOWER[part]
-                g, begin = grams(low, at)
-                h, first = words(low, at)
-                c = _found(*known, h)
-                base = _sums(np.log10(c + 1.0), first) + math.log10(end + 1.0)
-                n = np.diff(first) + 1
-                results.append((n, _sums((c > 0).astype(float), first).astype(np.int64) + (end > 0), base - n * unit, _sums(_found(*costs, g), begin), np.diff(at)))
-            n, seen, base, lm, size = (np.concatenate([r[k] for r in results]) if results else np.zeros(0) for k in range(5))
+            number = batch.column(0).to_numpy()
+            edge = np.concatenate([[0], np.flatnonzero(np.diff(number)) + 1, [len(number)]]) if len(number) else [0]
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                if number[a] != now:
+                    now = number[a]
+                    table = None
+                    table = _load(f"{folder}/{now}.bin")
+                yield from scored(batch.slice(a, b - a), *table)
+
+    def scored(batch: pa.RecordBatch, costs: tuple, known: tuple) -> Iterator[pa.RecordBatch]:
+        buf, offsets = text_buffer(batch.column(3))
+        for first, last, part, at in blocks(buf, offsets):
+            low = LOWER[part]
+            g, begin = grams(low, at)
+            h, word = words(low, at)
+            c = _found(*known, h)
+            n = np.diff(word) + 1
+            base = _sums(np.log10(c + 1.0), word) + math.log10(end + 1.0) - n * unit
+            seen = _sums((c > 0).astype(float), word).astype(np.int64) + (end > 0)
             integers = [pa.array(x.astype(np.int64)) for x in (n, seen, np.full(len(n), tokens))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *integers, pa.array(base), pa.array(lm), pa.array(size.astype(np.int64))], SCHEMA_NAMES)
+            yield _record([*(batch.column(k).slice(first, last - first) for k in (1, 2)), *integers, pa.array(base), pa.array(_sums(_found(*costs, g), begin)), pa.array(np.diff(at))], SCHEMA)
 
-    return mapped(slim, "ppm_score", run, SCHEMA)
+    return mapped(every.where("kind is null").select("batch", "doc_id", "held_out", "text"), "ppm_score", run, SCHEMA)
 
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
-SCHEMA_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
-
-
-def _joined(slim: DataFrame, costs: DataFrame, known: DataFrame, tokens: int, unit: float) -> DataFrame:
-    """The same by joins: each document's distinct grams and words with the tables."""
-    rows = materialise(slim.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            buf, offsets = text_buffer(batch.column(1))
-            for first, end, part, at in blocks(buf, offsets):
-                low = LOWER[part]
-                for kind, (values, begin) in enumerate((grams(low, at), words(low, at))):
-                    for doc, a, b in zip(ids[first:end].tolist(), begin[:-1].tolist(), begin[1:].tolist(), strict=True):
-                        v, n = sorted_counts(np.append(values[a:b], END_WORD) if kind else values[a:b])
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), doc)), pa.array(np.full(len(v), kind, np.int32)), pa.array(v.view(np.int64)), pa.array(n.astype(np.int64))], ["row", "kind", "key", "n"])
-
-    bag = materialise(rows.select("row", "text").mapInArrow(run, "row long, kind int, key long, n long"), "lm-bags")
-    lm = bag.where("kind = 0").join(costs, "key", "left").groupBy("row").agg(F.sum(F.col("n") * F.coalesce("cost", F.lit(0.0))).alias("score"), F.sum("n").alias("n_bytes"))
-    c = F.coalesce(F.col("learned"), F.lit(0))
-    base = bag.where("kind = 1").join(known, "key", "left").groupBy("row").agg(F.sum("n").alias("n_tokens"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("n_known"), F.sum(F.col("n") * F.log10(c + F.lit(1.0))).alias("base"))
-    out = rows.drop("text").join(lm, "row").join(base, "row")
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * unit).alias("base_score"), "score", (F.col("n_bytes") - 1).alias("n_bytes"))

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from palaver.llm import ppm_score
+from palaver.llm import common, ppm_score
 
 DOCS = [(k, t) for k, t in enumerate(["the cat sat on the mat", "The CAT  sat\ton the hat", "a dog; a log", "", None, "über Äpfel und Öl", "zebra zzz qqq", "the cat sat on the mat", "x", "mat hat cat " * 40, "the", "cat cat", "other words here", "and more of the same", "last of the lot"])]
 SCHEMA = "doc_id long, text string"
@@ -51,9 +51,13 @@ def brute(docs):
     return out
 
 
-@pytest.mark.parametrize("limit", [ppm_score.HELD, 1])
-def test_against_brute_force(spark, limit):
-    got = {r["doc_id"]: r for r in ppm_score.score(spark.createDataFrame(DOCS, SCHEMA), held=limit).collect()}
+@pytest.mark.parametrize("size", [1 << 20, 30])
+def test_against_brute_force(spark, monkeypatch, size):
+    """In one batch a task, and in batches of a document or two."""
+    monkeypatch.setattr(ppm_score, "BATCH_BYTES", size)
+    monkeypatch.setattr(common, "BLOCK_BYTES", size)
+    monkeypatch.setattr(ppm_score, "blocks", lambda buf, offsets: common.blocks(buf, offsets, size))
+    got = {r["doc_id"]: r for r in ppm_score.score(spark.createDataFrame(DOCS, SCHEMA).coalesce(2)).collect()}
     want = brute(DOCS)
     assert set(got) == set(want) and any(held(i) for i in want)
     for i, (out, n, known, train, base, lm) in want.items():
@@ -69,5 +73,7 @@ def test_empty_table_and_no_training(spark):
     r = ppm_score.score(spark.createDataFrame([(alone, "ab")], SCHEMA)).first()
     assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) == (2, 0, 0, 0.0)
     assert r["score"] == pytest.approx(-3 * math.log10(256))
+    none = spark.createDataFrame([(None, "the cat"), (None, None), (1, "the cat")], SCHEMA)
+    assert sorted((r["doc_id"] or 0, r["held_out"], r["n_tokens"], r["n_known"]) for r in ppm_score.score(none).collect()) == [(0, False, 1, 1), (0, False, 3, 3), (1, held(1), 3, 3)]
     extra = spark.createDataFrame([(1, "a", "x", 2.0)], "doc_id long, text string, held_out string, score double")
     assert ppm_score.score(extra).count() == 1
