@@ -5,18 +5,19 @@ unit after a number the one for a unit, and a word with a capital first letter (
 in lower case. WINDOW consecutive words of a benchmark item are a template window; windows with fewer than LITERAL words that stand for themselves are
 too general and don't count. Beside them go the plain windows, in lower case without placeholders, which see copies whose capitals were changed.
 
-Every window of every document is looked up in a hash table of the benchmark's. Hits of an item that lie on one diagonal (the same shift between
-positions) are aligned. Plain hits are word for word and count as they are. The slots of template hits are checked, stretch by stretch of adjoining windows:
-each value of a slot in the item must stand for one value in the document, and the other way round, so that a re-parameterised question passes and a chance
-agreement of form does not. Slots at odds with the others take the windows around them out of a stretch; if they are no fewer than the repeated values that
-agree, the stretch is chance and none of its template hits count. Of stretches that contradict each other, those that agree with the longest count.
-A document is contaminated by an item if what counts covers COVER of the item's words or RUN consecutive ones.
-
-The benchmark is collected in parts of at most PART_CHARS characters, one pass over the documents each, so what a task holds is bounded whatever its size.
-
-Defined results: null and empty texts are clean; items of fewer than LEAST words can't be told from chance and count for nothing; items of fewer than
-WINDOW words have one window of all their words; null item ids are kept as null in the lists; equal rows give equal rows; texts are read whole. Columns of
-docs are kept; one named like a result gives way.
+Windows of documents are joined with windows of items by their hashes. Only those that a bitmap of FILTER_BITS bits, made of all items' windows and of a fixed size,
+leaves are shuffled, with the words they hold. Hits of an item in a document that lie on one diagonal (the same shift between positions) are aligned. Plain hits are
+word for word and count as they are. The slots of template hits are checked, stretch by stretch of adjoining windows: each value of a slot in the item must stand
+for one value in the document, so that a re-parameterised question passes and a chance agreement of form does not. Slots at odds with the others take the windows
+around them out of a stretch; if they are no fewer than the repeated values that agree, the stretch is chance and none of its template hits count. Of stretches
+that contradict each other, those that agree with the longest count. A document is contaminated by an item if what counts covers COVER of the item's words or RUN
+consecutive ones.
+
+Nothing that grows with the documents or the benchmark is collected or broadcast: hits are grouped by document, and a task holds one document's hits.
+
+Defined results: null and empty texts are clean; items of fewer than LEAST words are found only as the whole text of a document (the same words), items without a word
+never; items of fewer than WINDOW words have one window of all their words; null item ids are kept as null in the lists; equal rows give equal rows, and rows
+with a null doc_id are judged like others; texts are read whole. Columns of docs are kept; one named like a result gives way.
 """
 
 from __future__ import annotations
@@ -27,15 +28,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import LOWER, blocks, mapped, mix, span_hash, text_buffer, word_spans
+from .common import LOWER, blocks, discard, mapped, materialise, mix, parts, span_hash, text_buffer, word_spans
+from .ngram_join import grouped
 
 WINDOW, LEAST, LITERAL = 8, 5, 3
 COVER, RUN = 0.5, 13
-PART_CHARS = 32 << 20
+#: Bits of the filter before the join: 4 MB, whatever the benchmark's size.
+FILTER_BITS = 25
+ITEMS = "item_id long, item long, size int, n int, plain boolean, hash long, p int, words binary, slots binary"
+HITS = "row long, doc_id long, t long, n int, plain boolean, hash long, d int, words binary"
+FOUND = "row long, doc_id long, t long, item_ids array<long>, coverage double"
 # Units of measure, money and time.
 UNITS = "mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g gram grams kg kilogram kilograms lb lbs pound pounds oz ounce ounces ton tons tonne tonnes ml l liter liters litre litres gallon gallons pint pints s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years cent cents dollar dollars euro euros usd eur gbp percent degree degrees mph kmh km/h w kw kwh v a hz khz mhz ghz kb mb gb tb".split()
 
@@ -108,56 +114,97 @@ def windows(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-@dataclass
-class Benchmark:
-    ids: list[int | None]
-    words: Words
-    sizes: list[int]  # the window sizes in use
-    tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # by size: hashes in order, their items, positions, and a filter
-
-
-def index(items: list[tuple[int | None, str]]) -> Benchmark:
-    column = pa.array([t for _, t in items], pa.string())
-    w = canonical(*text_buffer(column))
-    found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-    for k in range(len(items)):
-        a, b = int(w.first[k]), int(w.first[k + 1])
-        n = min(WINDOW, b - a)
-        if b - a < LEAST:
-            continue
-        plain, slotted = windows(w.literal[a:b], n), windows(w.template[a:b], n)
-        own = (w.template[a:b] == w.literal[a:b]).astype(int)
-        enough = np.convolve(own, np.ones(n, int), "valid") >= LITERAL
-        at = np.arange(len(plain))
-        slotted, at_slotted = slotted[enough], at[enough]
-        for h, p in ((plain, at), (slotted, at_slotted)):
-            found.setdefault(n, []).append((h, np.full(len(h), k), p))
-    tables = {}
-    for n, some in found.items():
-        h, k, p = (np.concatenate([s[c] for s in some]) for c in range(3))
-        order = np.lexsort((p, k, h))
-        h, k, p = h[order], k[order], p[order]
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (k[1:] != k[:-1]) | (p[1:] != p[:-1])]) if len(h) else np.zeros(0, bool)
-        quick = np.zeros(1 << 22, bool)
-        quick[(h[new] >> np.uint64(42)).astype(np.int64)] = True
-        tables[n] = (h[new], k[new], p[new], quick)
-    return Benchmark([i for i, _ in items], w, sorted(tables), tables)
+def item_windows(benchmark: DataFrame) -> DataFrame:
+    """benchmark (item_id, text, ...) -> ITEMS: a row for each window of each item; words: its words' hashes, slots: which of them are slots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            buf, offsets = text_buffer(batch.column(1))
+            ids = batch.column(0).to_pylist()
+            for first, end, part, at in blocks(buf, offsets):
+                w = canonical(part, at)
+                rows: list[tuple] = []
+                for k in range(end - first):
+                    a, b = int(w.first[k]), int(w.first[k + 1])
+                    number += 1
+                    n = min(WINDOW, b - a)
+                    if not n:
+                        continue
+                    own, slot = w.literal[a:b], w.template[a:b] != w.literal[a:b]
+                    enough = np.convolve(~slot, np.ones(n, int), "valid") >= LITERAL
+                    for plain, hashes, use in ((True, windows(own, n), np.ones(b - a - n + 1, bool)), (False, windows(w.template[a:b], n), enough & (b - a >= LEAST))):
+                        for p in np.flatnonzero(use).tolist():
+                            rows.append((ids[first + k], number, b - a, n, plain, int(hashes[p : p + 1].view(np.int64)[0]), p, own[p : p + n].tobytes(), slot[p : p + n].tobytes()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ITEM_TYPES, strict=True)], _names(ITEMS))
+
+    return mapped(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")), "decontaminate", run, ITEMS)
+
+
+_ITEM_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _filter(items: DataFrame) -> np.ndarray:
+    """A bit for each value of the first FILTER_BITS bits of a hash: whether an item's window has it. At most 2^FILTER_BITS / 32 rows come here."""
+    at = F.shiftrightunsigned("hash", 64 - FILTER_BITS)
+    rows = items.select(F.shiftrightunsigned(at, 5).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - FILTER_BITS}) & 31 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
+    out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+    out[[r["word"] for r in rows]] = [r["bits"] for r in rows]
+    return np.unpackbits(out.astype("<u4").view(np.uint8), bitorder="little")
+
+
+def candidates(docs: DataFrame, sizes: list[int], bits: bytes) -> DataFrame:
+    """docs (doc_id, t, text) -> HITS: windows of documents that the filter leaves; words: the hashes of a template window's words."""
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        quick = np.frombuffer(sent.value, np.uint8)
+        shift = np.uint64(64 - FILTER_BITS)
+        row = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            buf, offsets = text_buffer(batch.column(2))
+            for first, end, part, at in blocks(buf, offsets):
+                w = canonical(part, at)
+                owner = np.repeat(np.arange(end - first), np.diff(w.first))
+                whole = np.diff(w.first)
+                for n in sizes:
+                    for words, plain in ((w.literal, True), (w.template, False)):
+                        if not plain and n < LEAST:
+                            continue
+                        h = windows(words, n)
+                        found = np.flatnonzero(quick[(h >> shift).astype(np.int64) >> 3] >> ((h >> shift).astype(np.int64) & 7).astype(np.uint8) & 1)
+                        found = found[owner[found] == owner[found + n - 1]]
+                        if n < LEAST:
+                            found = found[whole[owner[found]] == n]
+                        if not len(found):
+                            continue
+                        doc = owner[found]
+                        held = [w.literal[x : x + n].tobytes() for x in found.tolist()] if not plain else [None] * len(found)
+                        take = pa.array(first + doc)
+                        columns = [pa.array(row + first + doc), batch.column(0).take(take), batch.column(1).take(take), pa.array(np.full(len(found), n, np.int32)), pa.array(np.full(len(found), plain)), pa.array(h[found].view(np.int64)), pa.array((found - w.first[doc]).astype(np.int32)), pa.array(held, pa.binary())]
+                        yield pa.RecordBatch.from_arrays(columns, _names(HITS))
+            row += batch.num_rows
+
+    return mapped(docs, "decontaminate", run, HITS)
 
 
 def agreeing(item: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, int]:
-    """Which slots follow the one-to-one mapping of values that most of them follow, and how many of these repeat a pair. Ties: the first pair."""
+    """Which slots follow the mapping of the item's values that most of them follow, and how many of these repeat a pair. Ties: the first pair."""
     pairs = list(zip(item.tolist(), doc.tolist(), strict=True))
     there: dict[int, int] = {}
-    back: dict[int, int] = {}
     for (a, b), _ in Counter(pairs).most_common():
-        if a not in there and b not in back:
-            there[a], back[b] = b, a
-    agree = np.array([there.get(a) == b for a, b in pairs], bool)
+        there.setdefault(a, b)
+    agree = np.array([there[a] == b for a, b in pairs], bool)
     return agree, int(agree.sum()) - len(there)
 
 
 def consistent(item: np.ndarray, doc: np.ndarray) -> bool:
-    """Whether values of slots stand for one another, one to one."""
+    """Whether each value of a slot in the item stands for one value in the document."""
     return bool(agreeing(item, doc)[0].all())
 
 
@@ -196,100 +243,79 @@ def templates(spans: list[tuple[int, int]], slot: np.ndarray, item: np.ndarray,
     return out
 
 
-def judge(bench: Benchmark, words: Words, a: int, hits: list[tuple[int, int, int, int, bool]]) -> dict[int, float]:
-    """hits of one document, which begins at word a: (item, position in the item, in the document, window, plain). -> item: share of its words that is covered."""
-    lines: dict[tuple[int, int], tuple[list[tuple[int, int]], list[tuple[int, int]]]] = {}
-    for item, p, d, n, plain in hits:
-        lines.setdefault((item, d - p), ([], []))[plain].append((p, n))
-    covered: dict[int, np.ndarray] = {}
-    for (item, shift), (slotted, plain) in lines.items():
-        begin = int(bench.words.first[item])
-        size = int(bench.words.first[item + 1]) - begin
-        own = bench.words.literal[begin : begin + size]
-        mark = _marked(size, plain)
-        if slotted:
-            low = max(0, -(a + shift))  # the item's words that lie before the first or after the last word of the texts are in no hit
-            theirs = np.zeros(size, np.uint64)
-            part = words.literal[a + shift + low : a + shift + size]
-            theirs[low : low + len(part)] = part
-            mark |= templates(slotted, bench.words.template[begin : begin + size] != own, own, theirs)
-        covered[item] = covered.get(item, np.zeros(size, bool)) | mark
-    out = {}
-    for item, mark in covered.items():
-        run = max((y - x for x, y in _runs(mark)), default=0)
-        if mark.mean() >= COVER or run >= RUN:
-            out[item] = float(mark.mean())
-    return out
+def judge(size: int, hits: list[tuple[int, int, int, bool, bytes, bytes, bytes | None]]) -> float | None:
+    """hits of one item of `size` words in one document: (position in the item, in the document, window, plain, the item's words, its slots, the document's words).
 
+    The share of the item's words that is covered, None if it is too little.
+    """
+    lines: dict[int, tuple[list[tuple], list[tuple]]] = {}
+    for p, d, n, plain, *held in hits:
+        lines.setdefault(d - p, ([], []))[plain].append((p, n, *held))
+    covered = np.zeros(size, bool)
+    for slotted, plain in lines.values():
+        covered |= _marked(size, [x[:2] for x in plain])
+        if slotted:
+            own, theirs, slot = np.zeros(size, np.uint64), np.zeros(size, np.uint64), np.zeros(size, bool)
+            for p, n, item, slots, doc in slotted:
+                own[p : p + n], theirs[p : p + n], slot[p : p + n] = np.frombuffer(item, np.uint64), np.frombuffer(doc, np.uint64), np.frombuffer(slots, bool)
+            covered |= templates(sorted({x[:2] for x in slotted}), slot, own, theirs)
+    run = max((y - x for x, y in _runs(covered)), default=0)
+    return float(covered.mean()) if covered.mean() >= COVER or run >= RUN else None
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs (doc_id, text, ...) -> FOUND: a row for each contaminated row of docs; t: the text's hash, coverage: the most of an item that was found."""
+    items = materialise(item_windows(benchmark), "bench-windows")
+    sizes = sorted(r["n"] for r in items.select("n").distinct().collect())
+    bits = np.packbits(_filter(items), bitorder="little").tobytes()
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_id().alias("t"), F.col("text").cast("string").alias("text"))
+    hits = candidates(slim, sizes, bits).join(items.withColumnRenamed("words", "own"), ["n", "plain", "hash"])
+    hits = hits.select("row", "item", "doc_id", "t", "item_id", "size", "p", "d", "n", "plain", "own", "slots", "words")
 
-def contaminated(bench: Benchmark, buf: np.ndarray, offsets: np.ndarray) -> dict[int, dict[int, float]]:
-    """By document, the items that contaminate it and how much of each was found."""
-    w = canonical(buf, offsets)
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(w.first))
-    hits: dict[int, list[tuple[int, int, int, int, bool]]] = {}
-    for n in bench.sizes:
-        hashes, items, places, quick = bench.tables[n]
-        for words, plain in ((w.literal, True), (w.template, False)):
-            h = windows(words, n)
-            maybe = np.flatnonzero(quick[(h >> np.uint64(42)).astype(np.int64)])
-            maybe = maybe[owner[maybe] == owner[maybe + n - 1]]
-            low, high = np.searchsorted(hashes, h[maybe]), np.searchsorted(hashes, h[maybe], "right")
-            for at, x, y in zip(maybe[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
-                doc = int(owner[at])
-                mine = hits.setdefault(doc, [])
-                mine += [(int(items[k]), int(places[k]), at - int(w.first[doc]), n, plain) for k in range(x, y)]
-    out = {}
-    for doc, mine in hits.items():
-        if good := judge(bench, w, int(w.first[doc]), mine):
-            out[doc] = good
-    return out
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped(batches):
+            rows: dict[int, list] = {}
+            by: dict[tuple[int, int], list] = {}
+            for row, item, doc_id, t, item_id, size, *hit in zip(*(c.to_pylist() for c in table.columns), strict=True):
+                rows.setdefault(row, [doc_id, t, {}, 0.0])
+                by.setdefault((row, item), [item_id, size, []])[2].append(tuple(hit))
+            for (row, _), (item_id, size, mine) in by.items():
+                if (share := judge(size, mine)) is not None:
+                    rows[row][2][item_id] = True
+                    rows[row][3] = max(rows[row][3], share)
+            out = [(row, doc_id, t, sorted(ids, key=lambda x: (x is not None, x or 0)), most) for row, (doc_id, t, ids, most) in rows.items() if ids]
+            if out:
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], _names(FOUND))
 
-def parts_of(benchmark: DataFrame, chars: int = PART_CHARS) -> list[Benchmark]:
-    """The benchmark in parts of about `chars` characters. An item may be larger: an item is never cut."""
-    b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total = b.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-total // chars))
-    return [index([(r["item_id"], r["text"]) for r in b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()]) for k in range(n)]
+    dealt = hits.repartition(parts(docs), "row").sortWithinPartitions("row")
+    found = materialise(mapped(dealt, "decontaminate", run, FOUND), "contaminated")
+    discard(items)
+    return found
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, chars: int = PART_CHARS) -> DataFrame:
-    """docs with item_ids (in order) and coverage (the most of an item that was found; null if clean)."""
-    out = docs.select(*[(F.col("text").cast("string") if c == "text" else F.col(f"`{c}`")).alias(c) for c in docs.columns if c not in ("item_ids", "coverage")])
-    names = out.columns
-    out = out.withColumns({"item_ids": F.array().cast("array<long>"), "coverage": F.lit(None).cast("double")})
-    for bench in parts_of(benchmark, chars):
-        out = _pass(out, names, bench)
-    return out
+def text_id() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
 
 
-def _pass(docs: DataFrame, names: list[str], bench: Benchmark) -> DataFrame:
-    text = names.index("text")
+def _met(docs: DataFrame, found: DataFrame) -> Column:
+    return docs["doc_id"].cast("long").eqNullSafe(found["_palaver_id"]) & (text_id() == found["_palaver_t"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, offsets = text_buffer(batch.column(text))
-            ids, cover = batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()
-            for first, _, part, at in blocks(buf, offsets):
-                for doc, found in contaminated(bench, part, at).items():
-                    some = [*ids[first + doc], *(bench.ids[k] for k in found)]
-                    ids[first + doc] = sorted(set(some), key=lambda x: (x is not None, x or 0))
-                    cover[first + doc] = max(cover[first + doc] or 0.0, *found.values())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(ids, pa.list_(pa.int64())), pa.array(cover, pa.float64())], [*batch.schema.names[: len(names)], "item_ids", "coverage"])
 
-    fields = docs.schema.fields[: len(names)]
-    return mapped(docs, "decontaminate", run, StructType([*fields, StructField("item_ids", ArrayType(LongType())), StructField("coverage", DoubleType())]))
+def mark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs with item_ids (in order) and coverage (the most of an item that was found; null if clean)."""
+    out = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("item_ids", "coverage")])
+    found = contaminated(out, benchmark).groupBy(F.col("doc_id").alias("_palaver_id"), F.col("t").alias("_palaver_t")).agg(F.first("item_ids").alias("item_ids"), F.first("coverage").alias("coverage"))
+    marked = out.join(found, _met(out, found), "left")
+    return marked.select(*[F.col(f"`{c}`") for c in out.columns], F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), "coverage")
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The contaminated documents: doc_id, item_ids, n_items, coverage."""
-    marked = mark(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark).where("coverage is not null")
-    return marked.select("doc_id", "item_ids", F.size("item_ids").cast("long").alias("n_items"), "coverage")
+    return contaminated(docs, benchmark).select("doc_id", "item_ids", F.size("item_ids").cast("long").alias("n_items"), "coverage")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones; columns stay."""
-    names = docs.columns
-    aside = {c: f"_palaver_in_{k}" for k, c in enumerate(names) if c in ("item_ids", "coverage")}
-    marked = mark(docs.withColumnsRenamed(aside), benchmark).where("coverage is null")
-    return marked.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in names])
+    found = contaminated(docs, benchmark).select(F.col("doc_id").alias("_palaver_id"), F.col("t").alias("_palaver_t")).distinct()
+    return docs.join(found, _met(docs, found), "left_anti")
