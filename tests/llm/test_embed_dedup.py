@@ -9,12 +9,12 @@ def rows():
     base = r.normal(size=(6, 16))
     x = [base[k % 6] + r.normal(size=16) * r.choice([0.02, 0.2, 0.4]) for k in range(120)] + list(r.normal(size=(40, 16)))
     out = [(k, [float(np.float32(c)) for c in v], k % 3) for k, v in enumerate(x)]
-    out += [(200, out[5][1], 0), (201, out[5][1], 0), (202, None, 0), (203, [0.0] * 16, 0), (204, [None] + [1.0] * 15, 0), (205, [float("nan")] + [1.0] * 15, 0), (206, [float("inf")] + [1.0] * 15, 0), (207, [1.0, 2.0], 0), (208, [2.0, 4.0], 0), (209, [], 0), (210, [1e-30] * 16, 0), (211, [2e-30] * 16, 0)]
+    out += [(200, out[5][1], 0), (201, out[5][1], 0), (202, None, 0), (203, [0.0] * 16, 0), (204, [None] + [1.0] * 15, 0), (205, [float("nan")] + [1.0] * 15, 0), (206, [float("inf")] + [1.0] * 15, 0), (207, [1.0, 2.0], 0), (208, [2.0, 4.0], 0), (209, [], 0), (210, [1e-30] * 16, 0), (211, [2e-30] * 16, 0), (212, [-1e200] * 16, 0), (213, [-3e200] * 16, 0), (214, [-1e-200] * 16, 0)]
     return out
 
 
 def brute(data):
-    good = {i: np.array(v, float) for i, v, _ in data if v and None not in v and np.isfinite(v).all() and np.any(v)}
+    good = {i: np.array(v, float) / np.max(np.abs(v)) for i, v, _ in data if v and None not in v and np.isfinite(v).all() and np.any(v)}
     near = {i: set() for i, _, _ in data}
     for a, x in good.items():
         for b, y in good.items():
@@ -31,7 +31,7 @@ def brute(data):
     return out
 
 
-@pytest.mark.parametrize("tile", [e.TILE, 20])
+@pytest.mark.parametrize("tile", [e.TILE, 20, 3])
 def test_against_brute_force(spark, monkeypatch, tile):
     monkeypatch.setattr(e, "TILE", tile)
     data = rows()
