@@ -13,6 +13,10 @@ LINK = (
     rf"|{BOUND}[\p{{L}}\p{{N}}_.+-]+@[\p{{L}}\p{{N}}_-]+(?:\.[\p{{L}}\p{{N}}_-]+)+{BOUND}"
     rf"|{BOUND}[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:{TOP_LEVEL}){BOUND}(?:/{NOT_WS}*)?"
 )
+#: A dot before a letter, or :// or @ or www. stands in every link.
+LINK_SIGN = r"(?iu)\.\p{L}|://|@|www\."
+#: Punctuation at the edges of words, but for the placeholders' own brackets.
+EDGES = rf"(?<!{NOT_WS})(?!(?:{URL}|{PHONE})(?!{NOT_WS})){EDGE}+|(?<!{URL[:-1]})(?<!{PHONE[:-1]}){EDGE}+(?!{NOT_WS})"
 WORLD_PHONE = rf"\+\p{{Nd}}(?:[{SPACE}\-().]?\p{{Nd}}){{7,14}}"
 _LOCAL = r"\p{Nd}(?:[ \-]?\p{Nd}){8,14}"
 _DATE = r"\p{Nd}{1,4}[-/.]\p{Nd}{1,2}[-/.]\p{Nd}{2,4}"
@@ -43,18 +47,19 @@ def strip_edges(token: Column) -> Column:
     return F.regexp_replace(token, f"^{EDGE}+|{EDGE}+$", "")
 
 
-def _split(text: Column) -> Column:
-    return F.split(text, f"{WS}+")
+def _stripped_tokens(text: Column) -> Column:
+    """Tokens without punctuation at their edges, placeholders as they are. All edges go in one pass over the text, before it is split."""
+    return F.array_remove(F.split(F.regexp_replace(text, EDGES, ""), f"{WS}+"), "")
 
 
 def tokenize(clean: Column) -> Column:
     """Tokens of a clean text, edge punctuation gone, empty ones dropped."""
-    return F.filter(F.transform(_split(normalise_quotes(clean)), strip_edges), lambda t: t != "")
+    return _stripped_tokens(normalise_quotes(clean))
 
 
 def mask_urls(text: Column) -> Column:
-    """Links, addresses and bare domains become the link placeholder."""
-    return F.regexp_replace(text, LINK, f" {URL} ")
+    """Links, addresses and bare domains become the link placeholder. Only texts that hold what every link has go through the long expression."""
+    return F.transform(F.array(text), lambda t: F.when(t.rlike(LINK_SIGN), F.regexp_replace(t, LINK, f" {URL} ")).otherwise(t))[0]  # the text is worked out once
 
 
 def mask_phones(text: Column) -> Column:
@@ -74,8 +79,7 @@ def strip_edited(text: Column) -> Column:
 
 def analysis_tokens(clean: Column) -> Column:
     """Tokens for the text analyses: markers stripped, links and phone numbers masked, placeholders kept verbatim."""
-    masked = normalise_quotes(mask_phones(mask_urls(strip_edited(strip_forwarded(clean)))))
-    return F.filter(F.transform(_split(masked), lambda t: F.when(t.isin(URL, PHONE), t).otherwise(strip_edges(t))), lambda t: t != "")
+    return _stripped_tokens(normalise_quotes(mask_phones(mask_urls(strip_edited(strip_forwarded(clean))))))
 
 
 def remove_stopwords(tokens: Column) -> Column:

@@ -30,12 +30,29 @@ def masked_rows(messages: DataFrame) -> DataFrame:
     return rows.withColumn("text_masked", F.array_join("tokens", " "))
 
 
-def with_repeats(rows: DataFrame, flag: str = "is_repeat", key: str = "text_masked") -> DataFrame:
-    """Flags later copies of a text in its chat. First lines are found by partial sums, so a text with a third of all rows is one row in the join."""
-    first = rows.groupBy("chat", F.xxhash64(key).alias("_h"), F.col(key).alias("_k")).agg(F.min("line_start").alias("_first"))
-    rows = rows.withColumn("_hk", F.xxhash64(key))
-    same = (rows["chat"] == first["chat"]) & (rows["_hk"] == first["_h"]) & (rows[key] == first["_k"])
-    return rows.join(first.select("chat", "_h", "_k", "_first"), same).select(*[rows[c] for c in rows.columns if c != "_hk"], (rows["line_start"] > first["_first"]).alias(flag))
+def with_repeats(rows: DataFrame, flag: str = "is_repeat", key: Column | None = None) -> DataFrame:
+    """Flags later copies of a text in its chat; a row without a line is none.
+
+    Texts are told by 128 bits of hash. First lines are found by partial minima over narrow rows (chat, hashes, line), so a text with a third of all rows is one
+    row of the join; the wide rows meet only the lines of repeats.
+    """
+    key = F.col("text_masked") if key is None else key
+    keyed = rows.withColumns({"_h1": F.xxhash64(key), "_h2": F.xxhash64(F.lit(1), F.reverse(key))})
+    lines = keyed.select("chat", "_h1", "_h2", "line_start")
+    first = lines.groupBy("chat", "_h1", "_h2").agg(F.min("line_start").alias("_first"))
+    repeats = lines.join(first, ["chat", "_h1", "_h2"]).where("line_start > _first").select("chat", "_h1", "_h2", "line_start", F.lit(True).alias("_again")).distinct()
+    out = keyed.join(repeats, ["chat", "_h1", "_h2", "line_start"], "left")
+    return out.select(*rows.columns, F.coalesce("_again", F.lit(False)).alias(flag))
+
+
+def numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """rows numbered from 1 in their chat in the order of a line column. Counts by range of lines are summed up, so no task sorts all rows of a chat."""
+    rows = rows.withColumn("_range", F.coalesce(F.floor(F.col(by) / 1024), F.lit(-1)))
+    counts = rows.groupBy("chat", "_range").agg(F.count(F.lit(1)).alias("_c"))
+    above = W.partitionBy("chat").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(above), F.lit(0))).drop("_c")
+    inside = F.row_number().over(W.partitionBy("chat", "_range").orderBy(by))
+    return rows.withColumn("_in", inside).join(counts, ["chat", "_range"]).withColumn(name, F.col("_in") + F.col("_before")).drop("_range", "_in", "_before")
 
 
 def build_corpus(messages: DataFrame, stopwords: bool = True) -> DataFrame:
@@ -57,6 +74,3 @@ def select_variant(corpus: DataFrame, variant: str) -> DataFrame:
         raise ValueError(f"unknown variant: {variant}")
     return corpus if variant == "all" else corpus.where(~F.col("is_repeat"))
 
-
-def half_even(value: Column, digits: int) -> Column:
-    return F.bround(value, digits)

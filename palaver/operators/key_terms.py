@@ -7,12 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scripts
-from .tfidf import postings
+from .tfidf import document_frequencies, postings
 
 
 def coverage(docs: DataFrame) -> DataFrame:
     """term, messages_containing, unique_texts_containing: each message once."""
-    return postings(docs).groupBy("term").agg(F.count_if(F.col("variant") == "all").alias("messages_containing"), F.count_if(F.col("variant") == "unique").alias("unique_texts_containing"))
+    return document_frequencies(postings(docs)).select("term", F.col("df_all").alias("messages_containing"), F.col("df_unique").alias("unique_texts_containing"))
 
 
 def key_terms(docs: DataFrame, tops: DataFrame, unigrams: DataFrame, min_messages: int = 1) -> DataFrame:

@@ -15,8 +15,8 @@ def ngram_table(corpus: DataFrame, n: int, tokens: str = "tokens") -> DataFrame:
 
     Copies are told by the tokens that are counted. Each row first counts its own n-grams, so the shuffle carries a row for each distinct n-gram of a message at most.
     """
-    rows = corpus.select("chat", "line_start", F.col(tokens).alias("tokens")).withColumn("_seq", F.array_join("tokens", "\u0001"))
-    rows = with_repeats(rows, "_copy", "_seq").select("chat", "line_start", "_copy", F.explode(text.ngrams(F.col("tokens"), n)).alias("ngram"))
+    rows = corpus.select("chat", "line_start", F.col(tokens).alias("tokens"))
+    rows = with_repeats(rows, "_copy", F.array_join("tokens", "\u0001")).select("chat", "line_start", "_copy", F.explode(text.ngrams(F.col("tokens"), n)).alias("ngram"))
     own = rows.groupBy("chat", "line_start", "_copy", "ngram").agg(F.count(F.lit(1)).alias("c"))
     out = own.groupBy("ngram").agg(F.sum("c").alias("count_all"), F.sum(F.when(~F.col("_copy"), F.col("c")).otherwise(0)).alias("count_unique"), F.count(F.lit(1)).alias("msgs_all"))
     return out.withColumn("repetition_ratio", F.bround(F.col("count_all") / F.nullif(F.col("count_unique"), F.lit(0)), 2))

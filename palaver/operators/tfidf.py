@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scripts
 from ..functions.constants import PHONE, URL
-from .corpus import variant_rows
+from .corpus import VARIANTS, variant_rows
 
 DIGITS = 12
 
@@ -27,21 +27,33 @@ def document_counts(docs: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """variant, chat, line_start, term, tf. A message's terms are counted before variants multiply them."""
-    tf = docs.select("chat", "line_start", "is_repeat", F.explode("terms").alias("term")).groupBy("chat", "line_start", "is_repeat", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return variant_rows(tf).drop("is_repeat")
+    """chat, line_start, is_repeat, term, tf: one row serves both variants."""
+    return docs.select("chat", "line_start", "is_repeat", F.explode("terms").alias("term")).groupBy("chat", "line_start", "is_repeat", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def document_frequencies(p: DataFrame) -> DataFrame:
+    """postings -> term, df_all, df_unique."""
+    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df_all"), F.count_if(~F.col("is_repeat")).alias("df_unique"))
 
 
 def weights(docs: DataFrame) -> DataFrame:
-    """postings with df, idf, tfidf_raw, tfidf_norm and rank_in_message."""
+    """variant, chat, line_start, term, tf, df, idf, tfidf_raw, tfidf_norm, rank_in_message, script.
+
+    Postings, document frequencies and the join by term are made once for both variants, which part only when a document's rows have come together.
+    """
     p = postings(docs)
-    df = p.groupBy("variant", "term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(document_counts(docs)), "variant")  # two rows
-    idf = df.withColumn("idf", F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).drop("n")
-    doc = W.partitionBy("variant", "chat", "line_start")
-    x = p.join(idf, ["variant", "term"]).withColumn("tfidf_raw", F.col("tf") * F.col("idf"))
-    x = x.withColumn("tfidf_norm", F.col("tfidf_raw") / F.sqrt(F.sum(F.col("tfidf_raw") * F.col("tfidf_raw")).over(doc)))
-    rank = F.row_number().over(doc.orderBy(F.round("tfidf_norm", DIGITS).desc(), "term"))
-    return x.withColumn("rank_in_message", rank.cast("long")).withColumn("script", scripts.token_script(F.col("term")))
+    n = docs.agg(F.count(F.lit(1)).alias("n_all"), F.count_if(~F.col("is_repeat")).alias("n_unique"))
+    idf = lambda v: (F.ln((1 + F.col(f"n_{v}")) / (1 + F.col(f"df_{v}"))) + 1).alias(f"idf_{v}")
+    terms = document_frequencies(p).join(F.broadcast(n), F.lit(True)).select("term", "df_all", "df_unique", idf("all"), idf("unique"))  # n is one row
+    x = p.join(terms, "term")
+    doc = W.partitionBy("chat", "line_start", "is_repeat")
+    norm = lambda v: F.sqrt(F.sum((F.col("tf") * F.col(f"idf_{v}")) * (F.col("tf") * F.col(f"idf_{v}"))).over(doc))
+    x = x.withColumns({"_n_all": norm("all"), "_n_unique": norm("unique")})
+    side = lambda v: F.struct(F.lit(v).alias("variant"), F.col(f"df_{v}").alias("df"), F.col(f"idf_{v}").alias("idf"), F.col(f"_n_{v}").alias("_norm"))
+    x = x.select("chat", "line_start", "is_repeat", "term", "tf", F.inline(F.when(F.col("is_repeat"), F.array(side("all"))).otherwise(F.array(side("all"), side("unique")))))
+    x = x.withColumn("tfidf_raw", F.col("tf") * F.col("idf")).withColumn("tfidf_norm", F.col("tfidf_raw") / F.col("_norm"))
+    rank = F.row_number().over(W.partitionBy("chat", "line_start", "is_repeat", "variant").orderBy(F.round("tfidf_norm", DIGITS).desc(), "term"))
+    return x.withColumn("rank_in_message", rank.cast("long")).drop("_norm", "is_repeat").withColumn("script", scripts.token_script(F.col("term")))
 
 
 def long_table(docs: DataFrame) -> DataFrame:
@@ -91,7 +103,8 @@ def variant_metadata(docs: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_documents"), F.count_if(F.size("terms") == 0).alias("n_empty_documents"), F.count_if("is_repeat").alias("n_repeat_documents"),
         F.count_if("is_forwarded").alias("n_forwarded_documents"), F.count_if("has_url").alias("n_documents_with_url"), F.count_if("has_phone").alias("n_documents_with_phone"),
     )
-    vocabulary = postings(docs).select("variant", "term").distinct().groupBy("variant").agg(F.count(F.lit(1)).alias("vocabulary_size"))
+    sizes = document_frequencies(postings(docs)).agg(*[F.count_if(F.col(f"df_{v}") > 0).alias(v) for v in VARIANTS])
+    vocabulary = sizes.select(F.inline(F.array(*[F.struct(F.lit(v).alias("variant"), F.col(v).alias("vocabulary_size")) for v in VARIANTS])))
     return sums.join(vocabulary, "variant", "left").withColumn("vocabulary_size", F.coalesce("vocabulary_size", F.lit(0)))
 
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle as o
 from .functions import classify, scripts, text
 from .operators import activity, corpus, gates, key_terms, ngrams, privacy, quality, repetition, script_mix, tfidf
+from .plans.shared import stored
 from .sources import export, synthetic, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,22 +36,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.from_documents(_table(spark, sf_dir, "documents"))
 
 
-_held: list[DataFrame] = []
-
-
-def _hold(df: DataFrame) -> DataFrame:
-    """Keeps the tokens of one query at a time, since its branches share them: the expressions behind them are what costs."""
-    while _held:
-        old = _held.pop()
-        if old.sparkSession is df.sparkSession:
-            old.unpersist()
-    _held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-    return df
-
-
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with tokens, with and without stop words."""
-    return _hold(corpus.masked_rows(_documents(spark, sf_dir)).withColumn("tokens_no_stopwords", text.remove_stopwords(F.col("tokens"))))
+    """Documents with tokens: worked out once and written to the shared folder, since a query's branches share them. Of what is written, a branch reads the columns it uses."""
+    rows = stored(corpus.masked_rows(_documents(spark, sf_dir)).drop("text_masked"), "tokens")
+    return rows.withColumns({"text_masked": F.array_join("tokens", " "), "tokens_no_stopwords": text.remove_stopwords(F.col("tokens"))})
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
