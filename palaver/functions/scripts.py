@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_letters
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,11 +21,21 @@ def _letters(token: Column, keep: str) -> Column:
 
 def token_profile(token: Column) -> Column:
     """label (latin, devanagari, other, mixed_token; null without letters) and the letters of each script."""
-    latin, devanagari = _letters(token, LATIN), _letters(token, DEVANAGARI)
-    other = _letters(token, r"\p{L}") - _letters(F.regexp_replace(token, f"[^{LATIN}{DEVANAGARI}]", ""), r"\p{L}")
-    kinds = (latin > 0).cast("int") + (devanagari > 0).cast("int") + (other > 0).cast("int")
-    label = F.when(kinds == 0, F.lit(None).cast("string")).when(kinds > 1, "mixed_token").when(latin > 0, "latin").when(devanagari > 0, "devanagari").otherwise("other")
-    return F.struct(label.alias("label"), latin.cast("long").alias("latin"), devanagari.cast("long").alias("devanagari"), other.cast("long").alias("other"))
+    # a token of ASCII alone needs no expression: its letters are Latin
+    plain = F.octet_length(token) == F.char_length(token)
+    none = F.lit(0)
+    latin = F.when(plain, F.char_length(token) - F.char_length(F.translate(token, ascii_letters, ""))).otherwise(_letters(token, LATIN))
+    devanagari = F.when(plain, none).otherwise(_letters(token, DEVANAGARI))
+    other = F.when(plain, none).otherwise(_letters(token, r"\p{L}") - _letters(F.regexp_replace(token, f"[^{LATIN}{DEVANAGARI}]", ""), r"\p{L}"))
+
+    def labelled(c: Column) -> Column:
+        latin, devanagari, other = (c[k] for k in ("latin", "devanagari", "other"))
+        kinds = (latin > 0).cast("int") + (devanagari > 0).cast("int") + (other > 0).cast("int")
+        label = F.when(kinds == 0, F.lit(None).cast("string")).when(kinds > 1, "mixed_token").when(latin > 0, "latin").when(devanagari > 0, "devanagari").otherwise("other")
+        return F.struct(label.alias("label"), latin.cast("long").alias("latin"), devanagari.cast("long").alias("devanagari"), other.cast("long").alias("other"))
+
+    # by way of an array of one, so that the letters are counted once
+    return F.transform(F.array(F.struct(latin.alias("latin"), devanagari.alias("devanagari"), other.alias("other"))), labelled)[0]
 
 
 def lettered(tokens: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,7 +18,10 @@ LINK = (
 #: A dot before a letter, or :// or @ or www. stands in every link.
 LINK_SIGN = r"(?iu)\.\p{L}|://|@|www\."
 #: Punctuation at the edges of words, but for the placeholders' own brackets.
-EDGES = rf"(?<!{NOT_WS})(?!(?:{URL}|{PHONE})(?!{NOT_WS})){EDGE}+|(?<!{URL[:-1]})(?<!{PHONE[:-1]}){EDGE}+(?!{NOT_WS})"
+EDGES = rf"(?={EDGE})(?:(?<![^ ])(?!(?:{URL}|{PHONE})(?![^ ])){EDGE}+|(?<!{URL[:-1]})(?<!{PHONE[:-1]}){EDGE}+(?![^ ]))"
+#: Digits that a phone number has at least.
+PHONE_SIGN = r"\+\p{Nd}|\p{Nd}(?:[ \-]?\p{Nd}){8}"
+_ODD_SPACE = SPACE.replace(r"\x20", r"\x1f")
 WORLD_PHONE = rf"\+\p{{Nd}}(?:[{SPACE}\-().]?\p{{Nd}}){{7,14}}"
 _LOCAL = r"\p{Nd}(?:[ \-]?\p{Nd}){8,14}"
 _DATE = r"\p{Nd}{1,4}[-/.]\p{Nd}{1,2}[-/.]\p{Nd}{2,4}"
@@ -35,7 +40,7 @@ def strip_space(text: Column) -> Column:
 
 def clean_text(text: Column) -> Column:
     """No invisible marks, single spaces, lower case; null is empty."""
-    return F.lower(F.trim(F.regexp_replace(strip_invisible(F.coalesce(text, F.lit(""))), f"{WS}+", " ")))
+    return F.lower(F.trim(F.regexp_replace(strip_invisible(F.coalesce(text, F.lit(""))), f"{WS}{{2,}}|[{_ODD_SPACE}]", " ")))
 
 
 def normalise_quotes(text: Column) -> Column:
@@ -47,9 +52,14 @@ def strip_edges(token: Column) -> Column:
     return F.regexp_replace(token, f"^{EDGE}+|{EDGE}+$", "")
 
 
-def _stripped_tokens(text: Column) -> Column:
-    """Tokens without punctuation at their edges, placeholders as they are. All edges go in one pass over the text, before it is split."""
-    return F.array_remove(F.split(F.regexp_replace(text, EDGES, ""), f"{WS}+"), "")
+def _where(text: Column, sign: str, change: Callable[[Column], Column]) -> Column:
+    """change(text) where the text shows a sign, else the text, which is worked out once."""
+    return F.transform(F.array(text), lambda t: F.when(t.rlike(sign), change(t)).otherwise(t))[0]
+
+
+def _stripped_tokens(clean: Column) -> Column:
+    """Tokens of a clean text (its white space is U+0020) without punctuation at their edges, placeholders as they are. All edges go in one pass, before the split."""
+    return F.array_remove(F.split(F.regexp_replace(clean, EDGES, ""), " "), "")
 
 
 def tokenize(clean: Column) -> Column:
@@ -59,14 +69,17 @@ def tokenize(clean: Column) -> Column:
 
 def mask_urls(text: Column) -> Column:
     """Links, addresses and bare domains become the link placeholder. Only texts that hold what every link has go through the long expression."""
-    return F.transform(F.array(text), lambda t: F.when(t.rlike(LINK_SIGN), F.regexp_replace(t, LINK, f" {URL} ")).otherwise(t))[0]  # the text is worked out once
+    return _where(text, LINK_SIGN, lambda t: F.regexp_replace(t, LINK, f" {URL} "))
 
 
 def mask_phones(text: Column) -> Column:
     """Phone numbers become the phone placeholder; what begins like a date stays."""
-    text = F.regexp_replace(text, WORLD_PHONE, f" {PHONE} ")
-    text = F.regexp_replace(text, LOCAL_PHONE, "\u0001$1\u0002")
-    return F.translate(F.replace(text, F.lit("\u0001\u0002"), F.lit(f" {PHONE} ")), "\u0001\u0002", "")
+
+    def masked(t: Column) -> Column:
+        t = F.regexp_replace(F.regexp_replace(t, WORLD_PHONE, f" {PHONE} "), LOCAL_PHONE, "\u0001$1\u0002")
+        return F.replace(t, F.lit("\u0001\u0002"), F.lit(f" {PHONE} "))
+
+    return F.translate(_where(text, PHONE_SIGN, masked), "\u0001\u0002", "")
 
 
 def strip_forwarded(text: Column) -> Column:
@@ -74,7 +87,7 @@ def strip_forwarded(text: Column) -> Column:
 
 
 def strip_edited(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?iu){WS}*<this message was edited>{WS}*$", "")
+    return _where(text, "<[^<>]*>", lambda t: F.regexp_replace(t, rf"(?iu){WS}*<this message was edited>{WS}*$", ""))
 
 
 def analysis_tokens(clean: Column) -> Column:

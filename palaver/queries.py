@@ -33,7 +33,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.from_documents(_table(spark, sf_dir, "documents"))
+    return tables.from_documents(tables.widened(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,12 @@ from ..functions import classify, text
 from .export import with_parts
 
 
+def widened(df: DataFrame) -> DataFrame:
+    """df dealt out to all cores if its files make fewer tasks than there are; a table of more tasks than cores stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def from_documents(documents: DataFrame) -> DataFrame:
     """One user row for each document; the source is the sender."""
     d = documents.select(F.lit("documents").alias("chat"), F.col("doc_id").alias("line_start"), F.col("source").alias("sender"), F.coalesce("text", F.lit("")).alias("message"))
