@@ -69,10 +69,13 @@ def mapped(df: DataFrame, operator: str, run: Callable[[Iterator[pa.RecordBatch]
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder: spark.checkpoint.dir, or where it is unset (tests) a temporary folder of this driver."""
+    """The shared folder: spark.checkpoint.dir, or where it is unset in a local session (tests) a temporary folder. Elsewhere there is none that all would see."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = getattr(scratch_root, "local", None)
     if local is None:
         local = scratch_root.local = tempfile.mkdtemp(prefix="palaver-")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,6 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
         target = better.select(F.col("node").alias("_to"), F.col("component").alias("_label"))
         jumped = better.join(target, better.component == target._to).select("node", "old", F.least("component", "_label").alias("component"))
         jumped = materialise(jumped, "labels")
+        discard(label)
         label = jumped.select("node", "component")
         if jumped.where("component <> old").isEmpty():
+            discard(both)
             return label

@@ -10,7 +10,7 @@ with most of the rows is no single task's work. The model has PROFILE n-grams fo
 
 Defined results: text that is null or has no letter is `und` with score 0; with no labelled training document at all every text is
 `und`; letters are str.isalpha() code points in lower case; all else separates words. Very long texts count whole. Equal rows give equal
-rows; other columns aren't used. lang, source and doc_id are never inputs of a prediction.
+rows, also those with a null doc_id, which train; other columns aren't used. lang, source and doc_id are never inputs of a prediction.
 """
 
 from __future__ import annotations
@@ -70,7 +70,7 @@ def grams(letters: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     line[space] = 32
     found, owners = [line[~space]], [owner[~space]]
     packed = line
-    for k in range(1, LONGEST):
+    for k in range(1, min(LONGEST, len(line))):
         packed = (packed[:-1] << _BITS) | line[k:]
         gap = np.lib.stride_tricks.sliding_window_view(space, k + 1)
         inner = gap[:, 1:-1].any(axis=1) if k > 1 else np.zeros(len(packed), bool)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, mapped, materialise, mix, parts, span_hash, text_buffer, window_hash, word_spans
+from .common import LOWER, blocks, discard, mapped, materialise, mix, parts, span_hash, text_buffer, window_hash, word_spans
 from .embed_dedup import roots
 from .graph import components
 
@@ -316,6 +316,7 @@ def linked_rows(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     top = F.coalesce(F.col("component.node"), F.col("node"))
     state = state.select("k1", "k2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), top.alias("component"), F.coalesce("component.rep", "rep").alias("class_id"), (top == F.col("node")).alias("_top"))
     state = materialise(state.where("n_links > 0"), "class-state")
+    discard(classes, members, kept, found, comp)
     rows = feats.where("doc_id is not null").select("doc_id", "t", "k1", "k2").join(state, ["k1", "k2"], "left")
     rows = rows.select("doc_id", "t", "component", "class_id", "n_links", (F.col("_top") & (F.col("doc_id") == F.col("class_id"))).alias("first"))
     return rows.unionByName(feats.where("doc_id is null").select("doc_id", "t"), allowMissingColumns=True)
