@@ -8,6 +8,9 @@ profile, or PROFILE where it has none. The language with the least distance is p
 Counts are summed on every task before they are shuffled, and the most frequent n-grams are found in salted parts first, so a language
 with most of the rows is no single task's work. The model has PROFILE n-grams for each label value.
 
+keep_known() asks a score that comes from the training documents' own scores by language and size, so junk in known letters and languages that aren't learned go.
+It scores the training documents a second time; what a short text must reach is what texts as short reach.
+
 Defined results: text that is null or has no letter is `und` with score 0; with no labelled training document at all every text is
 `und`; letters are str.isalpha() code points in lower case; all else separates words. Very long texts count whole. Equal rows give equal
 rows, also those with a null doc_id, which train; other columns aren't used. lang, source and doc_id are never inputs of a prediction.
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from .common import blocks, crc_text, mapped, sorted_counts, text_buffer
 
@@ -30,8 +33,11 @@ from .common import blocks, crc_text, mapped, sorted_counts, text_buffer
 PROFILE = 400
 LONGEST = 3
 UNKNOWN = "und"
-#: A document further from its nearest language than this share of the greatest distance is no text in a known language.
-FARTHEST = 0.9
+#: What keep_known() asks of a score: MARGIN of the score that all but QUANTILE of the training documents of the same language and size reach. Sizes are powers of
+#: two of distinct n-grams in the profile. With fewer than PEERS such documents those of all languages count; with fewer than PEERS of these what the size below asks
+#: is asked, FLOOR at the least size.
+QUANTILE, MARGIN, PEERS, FLOOR = 0.01, 2 / 3, 50, 0.1
+_BINS = 256
 
 _BITS = np.uint64(21)
 _fold: np.ndarray | None = None
@@ -123,6 +129,11 @@ def train(docs: DataFrame) -> dict[str, list[int]]:
 
 def predict(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
     """Adds lang_pred and score to docs: 1 less the distance's share of the greatest distance, 0 for `und`. Columns of docs with these names give way."""
+    return _scored(docs, profiles).drop("_palaver_size")
+
+
+def _scored(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
+    """predict() and _palaver_size: the power of two of the document's distinct n-grams, -1 for `und`."""
     frame = docs.select(*[(F.col("text").cast("string") if c == "text" else F.col(f"`{c}`")).alias(c) for c in docs.columns if c not in ("lang_pred", "score")])
     text = frame.columns.index("text")
     names = sorted(profiles)
@@ -137,6 +148,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
             buf, offsets = text_buffer(batch.column(text))
             pred: list[str] = []
             score: list[float] = []
+            size: list[int] = []
             for _, _, part, where in blocks(buf, offsets):
                 points, at = decoded(part, where)
                 values, owner = grams(folded()[points], at)
@@ -146,6 +158,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
                     if a == b or not names:
                         pred.append(UNKNOWN)
                         score.append(0.0)
+                        size.append(-1)
                         continue
                     g, n = sorted_counts(values[a:b])
                     top = np.lexsort((g.view(np.int64), -n))[:PROFILE]
@@ -157,10 +170,37 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
                     k = int(far.argmin())
                     pred.append(names[k])
                     score.append(1.0 - float(far[k]) / (PROFILE * len(g)))
-            columns = [*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "lang_pred", "score"])
-
-    return mapped(frame, "lang_id", run, StructType([*frame.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+                    size.append(len(g).bit_length() - 1)
+            columns = [*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(size, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "lang_pred", "score", "_palaver_size"])
+
+    return mapped(frame, "lang_id", run, StructType([*frame.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("_palaver_size", IntegerType())]))
+
+
+def least_scores(docs: DataFrame, profiles: dict[str, list[int]]) -> dict[tuple[str, int], float]:
+    """(language, size) -> the score that keep_known() asks, from all labelled rows of docs (text, lang).
+
+    Scores are counted by language, size and bin before the shuffle; what comes to the driver has at most _BINS + 1 rows for each language and size.
+    """
+    rows = _scored(docs.select("text", "lang").where("lang is not null and text is not null").select("text"), profiles).where("_palaver_size >= 0")
+    counts = rows.groupBy("lang_pred", F.col("_palaver_size").alias("size"), F.floor(F.col("score") * _BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
+    out: dict[tuple[str, int], float] = {}
+    for size in range(PROFILE.bit_length()):
+        peers = [r for r in counts if r["size"] == size]
+        for lang in profiles:
+            own = [r for r in peers if r["lang_pred"] == lang]
+            group = sorted(own if sum(r["n"] for r in own) >= PEERS else peers, key=lambda r: r["bin"])
+            every = sum(r["n"] for r in group)
+            if every < PEERS:
+                out[lang, size] = out.get((lang, size - 1), FLOOR)
+                continue
+            below = 0
+            for r in group:
+                below += r["n"]
+                if below > QUANTILE * every:
+                    out[lang, size] = max(FLOOR, MARGIN * r["bin"] / _BINS)
+                    break
+    return out
 
 
 def fold(modulus: int = 3, rest: int = 1) -> Column:
@@ -176,10 +216,13 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """docs without those in no known language: no letters, or far from every profile. Columns stay."""
+    """docs without those in no known language: no letters, or further from every profile than training documents of that size are (see QUANTILE). Columns stay."""
     names = docs.columns
-    profiles = train(docs.where(~fold()))
+    trained = docs.where(~fold())
+    profiles = train(trained)
+    least = [(lang, size, score) for (lang, size), score in least_scores(trained, profiles).items()]
+    floors = docs.sparkSession.createDataFrame(least, "lang_pred string, _palaver_size int, _palaver_least double")
     aside = {c: f"_palaver_in_{k}" for k, c in enumerate(names) if c in ("lang_pred", "score")}
-    marked = predict(docs.withColumnsRenamed(aside), profiles)
-    good = marked.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= 1 - FARTHEST))
+    marked = _scored(docs.withColumnsRenamed(aside), profiles).where(F.col("lang_pred") != UNKNOWN)
+    good = marked.join(F.broadcast(floors), ["lang_pred", "_palaver_size"], "left").where(F.col("score") >= F.coalesce("_palaver_least", F.lit(FLOOR)))  # nine rows a language
     return good.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in names])

@@ -66,3 +66,17 @@ def test_edges(spark):
     assert kept.columns == df.columns and not ids & {900, 901, 902, 903} and set(range(90)) <= ids
     assert li.identify(df.where("false")).count() == 0
     assert {r["lang_pred"] for r in li.identify(df.withColumn("lang", df["lang_pred"].substr(9, 1)).where("false").union(df.where("lang is null"))).collect()} <= {"und", "en", "de", "fr"}
+
+
+def test_junk_and_unlearned_languages_go(spark):
+    """Latin letters alone don't make a known language; every labelled row stays, short ones too."""
+    import base64
+
+    r = random.Random(5)
+    docs = [*made(900), *[(2000 + k, " ".join(r.choices(WORDS[lang], k=r.randint(1, 3))), lang) for k, lang in enumerate(r.choices(list(WORDS), k=300))]]
+    noise = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    junk = [" ".join(noise(r.randint(2, 9)) for _ in range(40)), base64.b64encode(r.randbytes(300)).decode(), r.randbytes(150).hex(), "joka oli mutta kun niin hänen ovat myös jälkeen kuin vuonna tämä voi mukaan sitä ollut joita yli " * 2]
+    rows = [*docs, *[(5000 + k, t, None) for k, t in enumerate(junk)]]
+    kept = {x["doc_id"] for x in li.keep_known(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not kept & set(range(5000, 5000 + len(junk)))
+    assert {d[0] for d in docs} <= kept
