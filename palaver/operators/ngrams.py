@@ -26,6 +26,11 @@ def top(table: DataFrame, k: int, by: str = "count_all", name: str = "ngram") ->
     return table.orderBy(F.col(by).desc(), F.col(name)).limit(k)
 
 
+def inflated(table: DataFrame, k: int = 15) -> DataFrame:
+    """One row: the most frequent terms (k at most), and how many of them occur more often than in different texts."""
+    return top(table, k).agg(F.count(F.lit(1)).alias("terms"), F.count_if(F.col("count_all") > F.col("count_unique")).alias("inflated"))
+
+
 def token_counts(corpus: DataFrame) -> DataFrame:
     return corpus.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 

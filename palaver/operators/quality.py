@@ -48,10 +48,6 @@ def quality_report(messages: DataFrame, failures: DataFrame | None = None, colum
     return wide
 
 
-def sender_rows(messages: DataFrame) -> DataFrame:
-    return messages.where("message_type = 'user'").groupBy("sender").agg(F.count(F.lit(1)).alias("rows"))
-
-
 def date_evidence(messages: DataFrame) -> DataFrame:
     """One row: stamped and valid rows, the greatest first and second number of dates, first and last time, texts, unrecognised placeholders."""
     part = lambda n: F.try_element_at(F.split("date_str", "/"), F.lit(n)).try_cast("int")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import scripts
+from ..functions import scripts, text
 from ..functions.constants import MESSAGE_CLASSES, SHARE_BANDS
 from .corpus import VARIANTS, variant_rows
 
@@ -18,6 +18,12 @@ def profiles(corpus: DataFrame) -> DataFrame:
     return scripts.with_profile(corpus).select("chat", "line_start", "is_repeat", *FIELDS, "devanagari_share", "message_class", "is_short")
 
 
+def profile_text(spark: SparkSession, said: str | None) -> dict:
+    """The profile of one text; null is a text without a token."""
+    row = spark.createDataFrame([(said,)], "said string").select(text.analysis_tokens(text.clean_text(F.coalesce("said", F.lit("")))).alias("tokens"))
+    return scripts.with_profile(row).select(F.size("tokens").alias("n_tokens"), *FIELDS, "devanagari_share", "message_class", "is_short").first().asDict()
+
+
 def summary(profiled: DataFrame) -> DataFrame:
     """variant, message_class, messages, denominator, short_messages: all classes of both variants."""
     counts = variant_rows(profiled).groupBy("variant", "message_class").agg(F.count(F.lit(1)).alias("m"), F.count_if("is_short").alias("s"))

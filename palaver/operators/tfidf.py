@@ -97,6 +97,16 @@ def variant_comparison(tops: DataFrame, unigrams: DataFrame | None = None) -> Da
     return out.join(unigrams.select(F.col("ngram").alias("term"), "count_all", "count_unique"), "term", "left")
 
 
+def repetition_effect(comparison: DataFrame, k: int = 15) -> DataFrame:
+    """The first k terms of a comparison by their rank among all messages."""
+    return comparison.orderBy(F.col("rank_all").asc_nulls_last(), "term").limit(k)
+
+
+def empty_documents(docs: DataFrame) -> DataFrame:
+    """variant, chat, line_start of documents without a term."""
+    return variant_rows(docs.where(F.size("terms") == 0).select("chat", "line_start", "is_repeat")).select("variant", "chat", "line_start")
+
+
 def variant_metadata(docs: DataFrame) -> DataFrame:
     """One row a variant: documents, empty ones, vocabulary, repeats, forwarded, with links, with phone numbers."""
     sums = variant_rows(docs).groupBy("variant").agg(

@@ -34,7 +34,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _opened(spark: SparkSession, path: str):
+    """The file system of a path, and the path for it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, where = _opened(spark, path)
+    files.delete(where, True)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    files, where = _opened(spark, path)
+    return sorted(f.getPath().getName() for f in files.listStatus(where))
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, wherever Spark can write."""
+    files, where = _opened(spark, path)
+    out = files.create(where, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
 def clear(spark: SparkSession) -> None:
     """Delete what this package has left in the shared folder. Tables that were made before can't be read any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, shared_folder(spark))

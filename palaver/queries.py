@@ -118,12 +118,15 @@ def sensitive_texts(spark, sf_dir):
 # ---- n-grams
 
 
+_RATIO = "round_even(count_all / nullif(count_unique, 0), 2) AS repetition_ratio"
+
+
 def _ngram_query(n: int, column: str, name: str) -> None:
     sql_column = "content" if column == "tokens_no_stopwords" else "tokens"
-    sql = f"{o.ngram_cte(n, sql_column)} SELECT ngram, count_all, count_unique, msgs_all FROM ng"
+    sql = f"{o.ngram_cte(n, sql_column)} SELECT ngram, count_all, count_unique, msgs_all, {_RATIO} FROM ng"
 
     def run(spark, sf_dir):
-        return ngrams.ngram_table(_rows(spark, sf_dir), n, column).drop("repetition_ratio")
+        return ngrams.ngram_table(_rows(spark, sf_dir), n, column)
 
     run.__name__ = name
     query(sql)(run)
@@ -135,22 +138,27 @@ _ngram_query(2, "tokens", "ngram_bigrams")
 _ngram_query(3, "tokens", "ngram_trigrams")
 
 
-@query(f"{o.ngram_cte(1, 'content')} SELECT ngram, count_all, count_unique, msgs_all FROM ng ORDER BY count_unique DESC, ngram LIMIT 20")
+@query(f"{o.ngram_cte(1, 'content')} SELECT ngram, count_all, count_unique, msgs_all, {_RATIO} FROM ng ORDER BY count_unique DESC, ngram LIMIT 20")
 def ngram_topk_by_unique(spark, sf_dir):
-    return ngrams.top(ngrams.ngram_table(_rows(spark, sf_dir), 1, "tokens_no_stopwords"), 20, "count_unique").drop("repetition_ratio")
+    return ngrams.top(ngrams.ngram_table(_rows(spark, sf_dir), 1, "tokens_no_stopwords"), 20, "count_unique")
 
 
-@query(f"{o.ngram_cte(2, 'tokens')} SELECT ngram, count_all, count_unique, msgs_all FROM ng ORDER BY count_all DESC, ngram LIMIT 20")
+@query(f"{o.ngram_cte(2, 'tokens')} SELECT ngram, count_all, count_unique, msgs_all, {_RATIO} FROM ng ORDER BY count_all DESC, ngram LIMIT 20")
 def ngram_topk_bigrams(spark, sf_dir):
-    return ngrams.top(ngrams.ngram_table(_rows(spark, sf_dir), 2), 20).drop("repetition_ratio")
+    return ngrams.top(ngrams.ngram_table(_rows(spark, sf_dir), 2), 20)
+
+
+@query(f"{o.ngram_cte(1, 'content')} SELECT count(*) AS terms, count(*) FILTER (count_all > count_unique) AS inflated FROM (SELECT * FROM ng ORDER BY count_all DESC, ngram LIMIT 15)")
+def inflated_terms(spark, sf_dir):
+    return ngrams.inflated(ngrams.ngram_table(_rows(spark, sf_dir), 1, "tokens_no_stopwords"))
 
 
 @query(
     f"{o.CORPUS}, t AS (SELECT unnest(tokens) AS t FROM corpus), k AS (SELECT {o.script('t')} AS script, count(*) AS b, count(*) FILTER (t NOT IN {o.STOP}) AS a FROM t GROUP BY 1) "
-    "SELECT d.script, coalesce(b, 0) AS tokens_before, coalesce(a, 0) AS tokens_after FROM (VALUES ('latin'), ('devanagari'), ('placeholder'), ('other')) d(script) LEFT JOIN k ON k.script = d.script"
+    "SELECT d.script, coalesce(b, 0) AS tokens_before, coalesce(a, 0) AS tokens_after, round_even(100.0 :: DOUBLE * (b - a) / nullif(b, 0), 1) AS pct_removed FROM (VALUES ('latin'), ('devanagari'), ('placeholder'), ('other')) d(script) LEFT JOIN k ON k.script = d.script"
 )
 def script_diagnostics(spark, sf_dir):
-    return ngrams.script_diagnostics(_rows(spark, sf_dir)).drop("pct_removed")
+    return ngrams.script_diagnostics(_rows(spark, sf_dir))
 
 
 # ---- repetition
@@ -175,12 +183,12 @@ def repetition_summary(spark, sf_dir):
     return repetition.summary(_corpus(spark, sf_dir))
 
 
-_GROUPS = f"{_REPEATS}, g AS (SELECT 'T' || row_number() OVER (ORDER BY first) AS template_id, n AS occurrences, n - 1 AS repeat_messages, raws AS distinct_raw_texts, raws = 1 AS exact_raw_identical, url AS contains_url FROM m WHERE n > 1)"
+_GROUPS = f"{_REPEATS}, g AS (SELECT 'T' || row_number() OVER (ORDER BY first) AS template_id, n AS occurrences, n - 1 AS repeat_messages, raws AS distinct_raw_texts, raws = 1 AS exact_raw_identical, url AS contains_url, CAST(0 AS BIGINT) AS forwarded_messages, CAST(NULL AS VARCHAR) AS first_date, CAST(NULL AS VARCHAR) AS last_date, CAST(0 AS BIGINT) AS active_dates FROM m WHERE n > 1)"
 
 
 @query(f"{_GROUPS} SELECT * FROM g")
 def repetition_groups(spark, sf_dir):
-    return repetition.groups(_corpus(spark, sf_dir)).drop("chat", "forwarded_messages", "first_date", "last_date", "active_dates")
+    return repetition.groups(_corpus(spark, sf_dir)).drop("chat")
 
 
 @query(f"{_GROUPS} SELECT template_id, occurrences FROM g ORDER BY occurrences DESC, template_id LIMIT 10")
@@ -223,12 +231,26 @@ def tfidf_topk_mean(spark, sf_dir):
     return _tops(spark, sf_dir).where("variant = 'unique'").orderBy(F.round("mean_tfidf_in_docs", 10).desc(), "term").limit(15).select("term", "mean_tfidf_in_docs")
 
 
-@query(
-    f"{o.TFIDF}, r AS (SELECT *, rank() OVER (PARTITION BY variant ORDER BY round(total_tfidf, 6) DESC) AS rank FROM tops) "
-    "SELECT term, max(total_tfidf) FILTER (variant = 'all') AS total_tfidf_all, max(total_tfidf) FILTER (variant = 'unique') AS total_tfidf_unique FROM r GROUP BY term"
-)
+_COMPARED = f"""{o.TFIDF}, r AS (SELECT *, rank() OVER (PARTITION BY variant ORDER BY round(total_tfidf, 12) DESC) AS rank FROM tops),
+    s AS (SELECT content AS tok, row_number() OVER (PARTITION BY content ORDER BY line_start) > 1 AS copy FROM corpus), g AS (SELECT copy, unnest(tok) AS term FROM s),
+    uni AS (SELECT term, count(*) AS count_all, count(*) FILTER (NOT copy) AS count_unique FROM g GROUP BY term),
+    pairs AS (SELECT term, max(total_tfidf) FILTER (variant = 'all') AS total_tfidf_all, max(rank) FILTER (variant = 'all') AS rank_all, max(total_tfidf) FILTER (variant = 'unique') AS total_tfidf_unique, max(rank) FILTER (variant = 'unique') AS rank_unique FROM r GROUP BY term),
+    compared AS (SELECT p.*, rank_unique - rank_all AS rank_change, count_all, count_unique FROM pairs p LEFT JOIN uni ON uni.term = p.term)"""
+
+
+def _compared(spark, sf_dir) -> DataFrame:
+    rows = _corpus(spark, sf_dir)
+    return tfidf.variant_comparison(tfidf.top_terms(tfidf.weights(tfidf.documents(rows))), ngrams.ngram_table(rows, 1, "tokens_no_stopwords"))
+
+
+@query(f"{_COMPARED} SELECT * FROM compared")
 def tfidf_variant_comparison(spark, sf_dir):
-    return tfidf.variant_comparison(_tops(spark, sf_dir)).select("term", "total_tfidf_all", "total_tfidf_unique")
+    return _compared(spark, sf_dir)
+
+
+@query(f"{_COMPARED} SELECT * FROM compared ORDER BY rank_all NULLS LAST, term LIMIT 15")
+def repetition_effect(spark, sf_dir):
+    return tfidf.repetition_effect(_compared(spark, sf_dir))
 
 
 @query(f"{o.TFIDF} SELECT variant, line_start AS doc_id, term, rank_in_message FROM w WHERE rank_in_message <= 3")
@@ -237,12 +259,12 @@ def tfidf_per_doc_top3(spark, sf_dir):
 
 
 @query(
-    f"{o.TFIDF}, v AS (SELECT variant, count(*) AS n_documents, count(*) FILTER (len(list_filter(content, lambda t: t NOT IN ('<URL>', '<PHONE>'))) = 0) AS n_empty_documents, count(*) FILTER (is_repeat) AS n_repeat_documents, "
+    f"{o.TFIDF}, v AS (SELECT variant, count(*) AS n_documents, count(*) FILTER (len(list_filter(content, lambda t: t NOT IN ('<URL>', '<PHONE>'))) = 0) AS n_empty_documents, count(*) FILTER (is_repeat) AS n_repeat_documents, CAST(0 AS BIGINT) AS n_forwarded_documents, "
     "count(*) FILTER (list_contains(tokens, '<URL>')) AS n_documents_with_url, count(*) FILTER (list_contains(tokens, '<PHONE>')) AS n_documents_with_phone FROM variants GROUP BY variant) "
     "SELECT v.*, (SELECT count(*) FROM tops t WHERE t.variant = v.variant) AS vocabulary_size FROM v"
 )
 def tfidf_variant_meta(spark, sf_dir):
-    return tfidf.variant_metadata(_docs(spark, sf_dir)).drop("n_forwarded_documents")
+    return tfidf.variant_metadata(_docs(spark, sf_dir))
 
 
 @query(f"{o.TFIDF}, k AS (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY round(total_tfidf, 12) DESC, term) AS r FROM tops) SELECT count(*) / 10.0 :: DOUBLE AS overlap FROM k a JOIN k b ON a.term = b.term WHERE a.variant = 'all' AND b.variant = 'unique' AND a.r <= 10 AND b.r <= 10")
@@ -273,9 +295,9 @@ def _keys(spark, sf_dir) -> DataFrame:
     return key_terms.key_terms(docs, tfidf.top_terms(tfidf.weights(docs)), ngrams.ngram_table(rows, 1, "tokens_no_stopwords"))
 
 
-@query(f"{_KEYS} SELECT * FROM keys")
+@query(f"{_KEYS} SELECT *, {o.script('term')} AS script, round_even(occurrences_all / nullif(occurrences_unique, 0), 2) AS repetition_ratio FROM keys")
 def key_term_table(spark, sf_dir):
-    return _keys(spark, sf_dir).drop("script", "repetition_ratio")
+    return _keys(spark, sf_dir)
 
 
 @query(f"{_KEYS} SELECT term, unique_texts_containing, row_number() OVER (ORDER BY unique_texts_containing DESC, term) AS rank FROM keys QUALIFY rank <= 15")
@@ -313,13 +335,39 @@ def script_mix_summary(spark, sf_dir):
     return script_mix.summary(script_mix.profiles(_corpus(spark, sf_dir)))
 
 
+_NO_MIX = ", ".join(f"('{k}', 0, 0)" for k in ("mixed_messages_with_alternation", "share_0_to_0.25", "share_0.25_to_0.5", "share_0.5_to_0.75", "share_0.75_to_1", "mixed_messages_devanagari_share_0", "mixed_messages_devanagari_share_1"))
+_NO_VALUE = ", ".join(f"('{k}', NULL, 0)" for k in ("median_alternations_mixed", "max_alternations_mixed", "min_devanagari_share_mixed", "median_devanagari_share_mixed", "max_devanagari_share_mixed"))
+
+
 @query(
-    f"{_PROFILE}, a AS (SELECT variant, count(*) AS m, count(*) FILTER (n = 0) AS none, count(*) FILTER (n <= 3) AS short, sum(n) AS tokens FROM pv GROUP BY variant) SELECT variant, metric, CAST(v AS DOUBLE) AS value FROM a, LATERAL (VALUES "
-    "('mixed_script_messages', 0), ('no_alphabetic_messages', none), ('short_messages_all_classes', short), ('alphabetic_tokens_latin', tokens), ('total_alternations', 0)) t(metric, v)"
+    f"{_PROFILE}, a AS (SELECT variant, count(*) AS m, count(*) FILTER (n = 0) AS none, count(*) FILTER (n <= 3) AS short, sum(n) AS tokens, sum(length(regexp_replace(array_to_string(letters, ''), {o.q('[^' + chr(92) + 'p{L}]')}, '', 'g'))) AS chars FROM pv GROUP BY variant) "
+    "SELECT variant, metric, CAST(v AS DOUBLE) AS value, CAST(d AS BIGINT) AS denominator FROM a, LATERAL (VALUES ('mixed_script_messages', 0, m), ('total_alternations', 0, NULL), ('no_alphabetic_messages', none, m), ('short_messages_all_classes', short, m), "
+    f"('alphabetic_tokens_latin', tokens, tokens), ('alphabetic_tokens_devanagari', 0, tokens), ('alphabetic_tokens_other', 0, tokens), ('alphabetic_tokens_mixed', 0, tokens), ('letters_latin', chars, NULL), ('letters_devanagari', 0, NULL), ('letters_other', 0, NULL), {_NO_MIX}, {_NO_VALUE}) t(metric, v, d)"
 )
 def script_mixing_stats(spark, sf_dir):
-    shown = ("mixed_script_messages", "no_alphabetic_messages", "short_messages_all_classes", "alphabetic_tokens_latin", "total_alternations")
-    return script_mix.stats(script_mix.profiles(_corpus(spark, sf_dir))).where(F.col("metric").isin(*shown)).select("variant", "metric", "value")
+    return script_mix.stats(script_mix.profiles(_corpus(spark, sf_dir)))
+
+
+# Turns with Devanagari and Greek put in, by turn: the SQL side has plain ranges of letters of its own.
+_SCRIPTS = ("", "सुप्रभात रहा ", "कल ok ", "καλημέρα ", "सुxप्रभात ")
+_WRITTEN = f"""WITH x AS (SELECT CAST(conv_id AS VARCHAR) AS chat, turn AS line_start, list_extract([{", ".join(map(o.q, _SCRIPTS))}], CAST(turn % 5 AS INTEGER) + 1) || CASE WHEN turn % 5 = 1 THEN '' ELSE coalesce(text, '') END AS said FROM conversations WHERE role <> 'system'),
+    t AS (SELECT *, list_transform(list_filter({o.analysis(o.clean("said"))}, lambda t: t NOT IN ('<URL>', '<PHONE>') AND regexp_matches(t, '[a-zß-öø-ɏऄ-हक़-ॡα-ωά-ώ]')),
+        lambda t: CASE CAST(regexp_matches(t, '[a-zß-öø-ɏ]') AS INT) + 2 * CAST(regexp_matches(t, '[ऄ-हक़-ॡ]') AS INT) + 4 * CAST(regexp_matches(t, '[α-ωά-ώ]') AS INT) WHEN 1 THEN 'latin' WHEN 2 THEN 'devanagari' WHEN 4 THEN 'other' ELSE 'mixed' END) AS l FROM x),
+    p AS (SELECT chat, line_start, len(l) AS alphabetic_tokens, len(list_filter(l, lambda k: k = 'latin')) AS latin_tokens, len(list_filter(l, lambda k: k = 'devanagari')) AS devanagari_tokens, len(list_filter(l, lambda k: k = 'other')) AS other_tokens,
+        len(list_filter(l, lambda k: k = 'mixed')) AS mixed_token_tokens, len(list_filter(range(1, len(l)), lambda i: l[i] <> l[i + 1])) AS alternations FROM t)"""
+
+
+def _written(spark, sf_dir) -> DataFrame:
+    put = F.get(F.array(*map(F.lit, _SCRIPTS)), (F.col("turn") % 5).cast("int"))
+    c = _table(spark, sf_dir, "conversations").withColumn("text", F.when(F.col("role") != "system", F.concat(put, F.when(F.col("turn") % 5 == 1, "").otherwise(F.coalesce("text", F.lit(""))))).otherwise(F.col("text")))
+    return script_mix.profiles(corpus.with_repeats(corpus.masked_rows(tables.from_conversations(c))))
+
+
+@query(
+    f"{_WRITTEN} SELECT *, devanagari_tokens / nullif(alphabetic_tokens, 0) AS devanagari_share, alphabetic_tokens <= 3 AS is_short, CASE alphabetic_tokens WHEN 0 THEN 'no_alphabetic' WHEN latin_tokens THEN 'latin_only' WHEN devanagari_tokens THEN 'devanagari_only' WHEN other_tokens THEN 'other_script_only' ELSE 'mixed_script' END AS message_class FROM p"
+)
+def script_profiles_of_turns(spark, sf_dir):
+    return _written(spark, sf_dir).drop("is_repeat", "latin_letters", "devanagari_letters", "other_letters")
 
 
 # ---- conversations
@@ -457,9 +505,15 @@ _CASES = (
 )
 
 
-@query("SELECT message, media_type FROM (VALUES " + ", ".join(f"({o.q(m)}, {'NULL' if k is None else o.q(k)})" for m, k in _CASES) + ") t(message, media_type)")
+_KIND = "list_extract([" + ", ".join("NULL" if k is None else o.q(k) for _, k in _CASES) + f"], CAST(turn % {len(_CASES) + 1} AS INTEGER))"
+
+
+@query(f"SELECT CAST(conv_id AS VARCHAR) AS chat, turn AS line_start, CASE WHEN role <> 'system' THEN {_KIND} END AS media_type FROM conversations")
 def media_classification(spark, sf_dir):
-    return spark.createDataFrame([(m,) for m, _ in _CASES], "message string").select("message", classify.media_type(F.col("message")).alias("media_type"))
+    """All turns; most say one of the cases, by turn, instead of their text."""
+    case = F.get(F.array(*[F.lit(m) for m, _ in _CASES]), (F.col("turn") % (len(_CASES) + 1)).cast("int") - 1)
+    c = _table(spark, sf_dir, "conversations").withColumn("text", F.coalesce(case, "text"))
+    return tables.from_conversations(c).select("chat", "line_start", "media_type")
 
 
 # ---- quality, privacy, gates
@@ -467,11 +521,11 @@ def media_classification(spark, sf_dir):
 
 @query(
     f"{o.TURNS}, k AS (SELECT count(*) AS n FROM cv GROUP BY chat, role, message), l AS (SELECT avg(length(message)) + 3 * stddev_samp(length(message)) AS t FROM cv) SELECT metric, CAST(v AS BIGINT) AS value FROM (SELECT count(*) AS r, count(*) FILTER (role = 'system') AS ns, count(*) FILTER (trim(message, {o.q(' ' + chr(10) + chr(9) + chr(13))}) = '') AS e, count(DISTINCT CASE WHEN role <> 'system' THEN role END) AS u, (SELECT sum(n - 1) FROM k) AS d, count(*) FILTER (length(message) > t) AS big FROM cv, l), "
-    "LATERAL (VALUES ('total_rows', r), ('missing_sender', ns), ('empty_messages', e), ('unique_senders', u), ('unexpected_users', 0), ('duplicate_rows', d), ('unusually_long_messages', big)) t(metric, v)"
+    "LATERAL (VALUES ('total_rows', r), ('missing_chat', 0), ('missing_line_start', 0), ('missing_sender', ns), ('missing_message_type', 0), ('missing_message', 0), ('empty_messages', e), ('unique_senders', u), ('unexpected_users', 0), ('duplicate_rows', d), ('unusually_long_messages', big)) t(metric, v)"
 )
 def quality_report(spark, sf_dir):
-    shown = ("total_rows", "missing_sender", "empty_messages", "unique_senders", "unexpected_users", "duplicate_rows", "unusually_long_messages")
-    return quality.quality_report(_turns(spark, sf_dir), columns=("chat", "message_type", "sender", "message")).where(F.col("metric").isin(*shown))
+    turns = _turns(spark, sf_dir).select("chat", "line_start", "sender", "message_type", "message")
+    return quality.quality_report(turns, columns=("chat", "message_type", "sender", "message"))
 
 
 @query(f"{o.TURNS}, l AS (SELECT avg(length(message)) + 3 * stddev_samp(length(message)) AS t FROM cv) SELECT chat, line_start, CASE WHEN role <> 'system' THEN role END AS sender, length(message) AS n_chars FROM cv, l WHERE length(message) > t")
@@ -495,6 +549,20 @@ def hidden_terms(spark, sf_dir):
     return privacy.hidden_counts(ngrams.ngram_table(_rows(spark, sf_dir), 1, "tokens_no_stopwords"), "ngram", "msgs_all")
 
 
+_HIDES = f"length(regexp_replace(term, '[^0-9]', '', 'g')) >= 7 OR regexp_matches(term, {o.q('https?://|www[.]|@|chat[.]whatsapp|wa[.]me|whatsapp[.]com|' + chr(92) + 'b[a-z0-9-]+[.](com|org|net|edu|gov|in|co|io|app|me|ly|info|biz|us|uk)' + chr(92) + 'b')})"
+
+
+@query(
+    f"{_KEYS}, df AS (SELECT term, max(df) FILTER (variant = 'all') AS n FROM tops GROUP BY term), x AS (SELECT term, messages_containing < 2 AS rare FROM keys UNION ALL SELECT t.term, coalesce(d.n < 2, false) FROM tops t JOIN df d ON d.term = t.term) "
+    f"SELECT 2 AS min_messages, false AS shown_single_message_terms, count(*) FILTER (rare) AS rows_hidden_single_message, count(*) FILTER (NOT rare AND ({_HIDES})) AS rows_hidden_sensitive_pattern FROM x"
+)
+def display_notice(spark, sf_dir):
+    rows = _corpus(spark, sf_dir)
+    docs = tfidf.documents(rows)
+    tops = tfidf.top_terms(tfidf.weights(docs))
+    return privacy.display_notice({"key_terms": key_terms.key_terms(docs, tops, ngrams.ngram_table(rows, 1, "tokens_no_stopwords")), "tfidf_top_terms": tops})
+
+
 @query(f"{o.TURNS}, c AS (SELECT count(*) AS r, count(*) FILTER (message_type = 'user') AS u, count(*) FILTER (message_type = 'system') AS s, count(*) FILTER (kind = 'text') AS t FROM cv) SELECT 'rows' AS name, r AS value FROM c UNION ALL SELECT 'user', u FROM c UNION ALL SELECT 'text', t FROM c UNION ALL SELECT 'system', s FROM c")
 def reconciliation_totals(spark, sf_dir):
     d = _turns(spark, sf_dir).withColumn("datetime", F.lit(None).cast("timestamp_ntz"))

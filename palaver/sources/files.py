@@ -1,19 +1,14 @@
-"""Typed files: CSV under a fixed schema, optional and empty inputs, upload checks, repository scans."""
+"""Typed files: CSV under a fixed schema, optional and empty inputs, upload checks."""
 
 from __future__ import annotations
 
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from ..plans.config import Config, UserFacingError
 
-# Columns that are text whatever they look like.
-TEXT_COLUMNS = ("ngram", "term", "script", "sender", "message", "clean_message", "tokens", "tokens_no_stopwords", "text_masked", "date_str", "time_str", "media_type")
-
-
 def read_csv_typed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """CSV under a schema: only the empty field is null; 007 and None stay text. An empty file gives no rows."""
     if os.path.exists(path) and os.path.isfile(path) and not os.path.getsize(path):
@@ -47,25 +42,3 @@ def pre_validate(data: bytes, filename: str, config: Config) -> str:
     if not text.strip():
         raise UserFacingError("empty", "The file holds white space only.")
     return text
-
-
-#: Findings of a repository scan, by kind; \\1 to \\9 aren't used, so the patterns may be joined.
-PRIVATE_KINDS = {
-    "phone": r"(?<![0-9])\+?[0-9](?:[ -]?[0-9]){9,14}(?![0-9])",
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    "invite": r"chat\.whatsapp\.com/[A-Za-z0-9]+",
-    "key": r"(?i)(?:api[_-]?key|secret|token|password)\s*[:=]\s*['\"][^'\"]{8,}",
-    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-}
-#: Lines that say that they are made up are passed over.
-FICTIONAL = r"(?i)example\.|fictional|dummy|00000|12345"
-
-
-def scan_repository(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """file, line_no, kind of private-looking text; never the text itself."""
-    whole = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n", -1)).alias("at", "line"))
-    hits = F.filter(F.array(*[F.when(F.col("line").rlike(p), F.lit(k)) for k, p in PRIVATE_KINDS.items()]), lambda k: k.isNotNull())
-    return whole.where(~F.col("line").rlike(FICTIONAL)).select("file", (F.col("at") + 1).cast("long").alias("line_no"), F.explode(hits).alias("kind"))
-
-
-FAILURES = StructType([StructField("chat", StringType()), StructField("line_no", LongType()), StructField("line", StringType())])

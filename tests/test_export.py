@@ -1,8 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
 from palaver.operators import gates, quality
 from palaver.plans.config import Config, UserFacingError
-from palaver.plans.run import RunManager, analyse, build_bundle, checked, key_findings, run_export, summarise
+from palaver.plans.run import RunManager, analyse, build_bundle, checked, key_findings, load_run, notice, run_export, summarise
 from palaver.sources import export, synthetic
 from palaver.sources.files import pre_validate
 
@@ -27,10 +28,20 @@ def test_whole_run_and_gates(spark, tmp_path):
     meta = run_export(spark, str(path), str(tmp_path / "out"))
     assert len(meta["checks"]) == 28 and all(c["passed"] for c in meta["checks"]) and meta["script_agreement"]["agrees"]
     comp = {(r["group"], r["category"]): r["count"] for r in spark.read.parquet(str(tmp_path / "out" / "analytics_row_composition")).collect()}
-    assert comp["user_rows", "media"] == 1 and comp["user_rows", "deleted"] == 1 and comp["parsed_rows", "header"] == 1
+    assert (comp["user_rows", "media"], comp["user_rows", "deleted"], comp["user_rows", "text"], comp["parsed_rows", "header"], comp["parsed_rows", "system"]) == (5, 3, 23, 1, 6)
     m, _ = export.read_export(spark, str(path))
+    found = summarise(spark, str(tmp_path / "out"))
+    assert (found["parsed_rows"], found["text_messages"], found["participants"], found["reconciliation_checks_passed"], found["output_files"]) == (38, 23, 4, 28, 26) and len(found) == 11
+    terms = [(-r["count_all"], r["ngram"]) for r in spark.read.parquet(str(tmp_path / "out" / "ngram_unigrams")).collect()]
+    assert terms == sorted(terms) and len(terms) > 20
+    tables, analytics, tf = load_run(spark, str(tmp_path / "out"))
+    assert len(tables) == 19 and analytics["all_reconciliation_checks_passed"] and tf["variants"]["all"]["leave_one_out_top_k"]["runs"] == 23 and "empty_document_line_start" not in tf["variants"]["all"]
+    tables["key_terms"].withColumn("sender", F.lit("x")).write.parquet(str(tmp_path / "bad" / "key_terms"))
+    for name in tables.keys() - {"key_terms"}:
+        tables[name].write.parquet(str(tmp_path / "bad" / name))
+    with pytest.raises(UserFacingError):
+        load_run(spark, str(tmp_path / "bad"))
     a = analyse(m)
-    assert summarise(a)["rows"] == 11
     a.tables["analytics_hour_histogram"] = a.tables["analytics_hour_histogram"].where("hour_as_exported <> 9")
     with pytest.raises(gates.CheckFailed, match="hours"):
         checked(a)
@@ -43,8 +54,9 @@ def test_upload(spark):
     result, new = manager.submit(data, "chat.txt")
     assert new and not manager.submit(data, "chat.txt")[1]
     assert "sender" not in result.tables["analytics_sender_counts"].columns and "top10_terms_by_total_tfidf" not in str(result.tfidf_meta)
-    assert 1 <= len(key_findings(result)) <= 4
-    assert build_bundle(spark, result)[:2] == b"PK"
+    assert 1 <= len(key_findings(spark, result)) <= 4
+    assert build_bundle(spark, result)[:2] == b"PK" and notice(spark, result)["rows_hidden_single_message"] > 0
+    assert list(result.tables["analytics_sender_counts"]["participant_id"]) == [f"Participant_{k}" for k in range(1, 5)]
     with pytest.raises(UserFacingError):
         manager.submit(b"no stamps here", "other.txt")
     assert manager.result is result
@@ -76,6 +88,16 @@ def test_generator(spark):
     assert m.count() == 100 and failures.count() == 0 and m.where("is_media").count() > 3 and m.where("is_deleted").count() == 2
 
 
+def test_fixture_chat(spark):
+    lines = synthetic.fixture_lines(spark, 700, seed=4, phone_sender="+91 90000 54321").orderBy("line_no")
+    rows = [r["line_no"] for r in lines.collect()]
+    assert rows == list(range(1, len(rows) + 1)) and lines.collect() == synthetic.fixture_lines(spark, 700, seed=4, phone_sender="+91 90000 54321").repartition(5).orderBy("line_no").collect()
+    m, failures = export.messages(lines)
+    kinds = {r["k"]: r["n"] for r in m.selectExpr("case when message_type <> 'user' then message_type when is_media then 'media' when is_deleted then 'deleted' when is_forwarded then 'forwarded' when line_end > line_start then 'long' else 'text' end k").groupBy("k").agg(F.count("*").alias("n")).collect()}
+    assert failures.count() == 0 and kinds["header"] == 1 and kinds["system"] == 5 and kinds["long"] == 21 and 20 < kinds["media"] < 70 and 8 < kinds["deleted"] < 40 and 8 < kinds["forwarded"] < 40
+    assert m.where("sender like '+91%'").count() > 30 and m.where("datetime is null and message_type = 'user'").count() == 0
+
+
 def test_stability_against_a_loop(spark):
     import math
     from collections import Counter

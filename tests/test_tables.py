@@ -121,8 +121,70 @@ def test_files(spark, tmp_path):
     assert files.read_csv_typed(spark, str(tmp_path / "e.csv"), schema).count() == 0 and files.optional(spark, str(tmp_path / "none.csv"), schema) is None
     with pytest.raises(FileNotFoundError):
         files.required(spark, str(tmp_path / "none.csv"), schema, "run the step before")
-    (tmp_path / "s.txt").write_text("ok\ncall +44 7700 900123 4\nmail me@site.io\nmail me@example.com\n", encoding="utf-8")
-    assert sorted((r["line_no"], r["kind"]) for r in files.scan_repository(spark, [str(tmp_path / "s.txt")]).collect()) == [(2, "phone"), (3, "email")]
+
+
+def test_repository(spark, tmp_path):
+    import zipfile
+
+    from palaver.sources import repository
+
+    lines = {
+        "a.txt": ["ok", "call +44 7700 900123 4", "mail me@site.io", "mail me@example.com but 0207 is short and 5554443331 is not", "U+2066-2069", "https://example.org/x https://intern.al/x", "https://wa.me/1 chat.whatsapp.com/Gk3dQwErTy123"],
+        "b.py": ['token = "s3cretvalue"  # example.com 12345', "AKIA" + "Q" * 16, "-----BEGIN RSA PRIVATE KEY-----", "number 9876512345"],
+        ".env": ["x=1"],
+    }
+    for name, rows in lines.items():
+        (tmp_path / name).write_text("\n".join(rows), encoding="utf-8")
+    (tmp_path / "pic.png").write_bytes(b"\x89 me@site.io")
+    (tmp_path / "raw.bin").write_bytes(b"\xff\xfe me@site.io")
+    with zipfile.ZipFile(tmp_path / "in.zip", "w") as z:
+        z.writestr("inner.txt", "one\nmail me@site.io")
+    (tmp_path / "priv").mkdir()
+    chat = tmp_path / "priv" / "chat.txt"
+    chat.write_text("[3/9/26, 9:00:00 AM] Quentin: the vault opens with the blue lever\n", encoding="utf-8")
+    (tmp_path / "c.md").write_text("Said quentin: The vault opens with the BLUE lever.", encoding="utf-8")
+    files = repository.candidates(str(tmp_path), everything=True)
+    assert set(files) == {*lines, "pic.png", "raw.bin", "in.zip", "c.md", "priv/chat.txt"}
+    got = sorted(map(tuple, repository.scan(spark, str(tmp_path), [f for f in files if "priv" not in f], str(chat)).collect()))
+    assert got == sorted([
+        ("a.txt", 2, "phone"), ("a.txt", 3, "email"), ("a.txt", 4, "phone"), ("a.txt", 6, "url"), ("a.txt", 7, "invite"), ("b.py", 1, "assignment"), ("b.py", 2, "key"), ("b.py", 3, "private_key"),
+        (".env", 0, "file"), ("in.zip", 0, "file"), ("in.zip", 2, "email"), ("c.md", 1, "private sender"), ("c.md", 1, "private message"),
+    ])
+
+
+def test_library_agrees(spark):
+    """TF-IDF against pyspark.ml: CountVectorizer, its inverse frequencies plus one, Normalizer."""
+    import numpy as np
+    from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
+    from pyspark.ml.linalg import Vectors
+
+    rows = corpus.build_corpus(messages(spark, ["apple berry apple", "berry cherry", "the", "apple berry apple", "date fig grape apple", "fig fig fig"]))
+    d = tfidf.documents(rows)
+    for v in corpus.VARIANTS:
+        some = corpus.select_variant(d, v).select("line_start", "terms")
+        counter = CountVectorizer(inputCol="terms", outputCol="tf", minDF=1).fit(some)
+        tf = counter.transform(some)
+        idf = IDF(inputCol="tf", outputCol="_").fit(tf).idf.toArray() + 1
+        norm = Normalizer(inputCol="raw", outputCol="norm", p=2.0).transform(ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="tf", outputCol="raw").transform(tf))
+        want = {(r["line_start"], counter.vocabulary[i]): x for r in norm.collect() for i, x in zip(r["norm"].indices, r["norm"].values, strict=True)}
+        got = {(r["line_start"], r["term"]): r["tfidf_norm"] for r in tfidf.weights(d).where(F.col("variant") == v).collect()}
+        assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-12 and np.isfinite(idf).all()
+
+
+def test_notice_and_views(spark):
+    rows = corpus.build_corpus(messages(spark, ["apple berry", "apple berry", "apple cherry", "see foo.com now", "12345678 apple"]))
+    d = tfidf.documents(rows)
+    uni, tops = ngrams.ngram_table(rows, 1, "tokens_no_stopwords"), tfidf.top_terms(tfidf.weights(d))
+    every = {"ngram_unigrams": uni, "tfidf_top_terms": tops, "tfidf_variant_comparison": tfidf.variant_comparison(tops, uni), "key_terms": key_terms.key_terms(d, tops, uni)}
+    for single in (False, True):
+        shown, notice = privacy.display_tables(every, 2, single), privacy.display_notice(every, 2, single).first()
+        assert sum(t.count() for t in every.values()) - sum(t.count() for t in shown.values()) == notice["rows_hidden_single_message"] + notice["rows_hidden_sensitive_pattern"]
+        assert (notice["rows_hidden_single_message"] == 0) == single and notice["min_messages"] == 2
+    assert tuple(ngrams.inflated(uni, 3).first()) == (3, 2)
+    first = [r["term"] for r in tfidf.repetition_effect(every["tfidf_variant_comparison"], 2).collect()]
+    assert len(first) == 2 and first[0] == "apple"
+    p = script_mix.profile_text(spark, "सुप्रभात Hello https://a.com/x 12")
+    assert (p["n_tokens"], p["latin_tokens"], p["devanagari_tokens"], p["message_class"]) == (4, 1, 1, "mixed_script") and script_mix.profile_text(spark, None)["message_class"] == "no_alphabetic"
 
 
 def test_adapters(spark):
