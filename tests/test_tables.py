@@ -221,3 +221,22 @@ def test_stability_of_documents(spark, tmp_path):
         want = [len(best(some) & best(some[:i] + some[i + 1 :])) / 10 for i in tfidf.stability_indices(len(some))]
         assert len(want) == got[variant]["runs"] == 60 and got[variant]["min_overlap"] == min(want) and got[variant]["argmin"] == want.index(min(want))
         assert abs(got[variant]["mean_overlap"] - sum(want) / 60) < 1e-4 and min(want) < 1
+
+
+def test_stability_leaves_no_tables_and_joins_rare_terms_alike(spark, tmp_path, monkeypatch):
+    import os
+    import random
+
+    from palaver.operators import tfidf
+    from palaver.plans import shared
+    from palaver.queries import QUERIES
+
+    r = random.Random(5)
+    words = [a + b for a in ("zor", "kel", "mip", "tav", "rud") for b in ("ka", "lo", "mi", "nu", "pe", "sa")]
+    docs = [(k, " ".join(r.choices(words, weights=range(30, 60), k=r.randint(0, 12)))) for k in range(230)]
+    spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'en' lang", "'web' source", "1L n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(shared, "shared_folder", lambda spark: f"file://{tmp_path}/shared")
+    got = [sorted(map(tuple, QUERIES["tfidf_stability"](spark, str(tmp_path)).collect()))]
+    monkeypatch.setattr(tfidf, "FREQUENT", 5)  # the other terms meet their documents by a shuffle
+    got.append(sorted(map(tuple, QUERIES["tfidf_stability"](spark, str(tmp_path)).collect())))
+    assert got[0] == got[1] and got[0][0][3] < 1 and os.listdir(f"{tmp_path}/shared") == []
