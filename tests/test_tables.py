@@ -240,3 +240,9 @@ def test_stability_leaves_no_tables_and_joins_rare_terms_alike(spark, tmp_path,
     monkeypatch.setattr(tfidf, "FREQUENT", 5)  # the other terms meet their documents by a shuffle
     got.append(sorted(map(tuple, QUERIES["tfidf_stability"](spark, str(tmp_path)).collect())))
     assert got[0] == got[1] and got[0][0][3] < 1 and os.listdir(f"{tmp_path}/shared") == []
+
+
+def test_ratio_is_rounded_as_a_number(spark):
+    rows = spark.createDataFrame([("c", k, ["x"] * n) for k, n in enumerate((29, 11, 11))], "chat string, line_start long, tokens array<string>")
+    got = ngrams.ngram_table(rows, 1).first()
+    assert (got["count_all"], got["count_unique"], got["repetition_ratio"]) == (51, 40, 1.27)
