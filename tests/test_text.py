@@ -59,3 +59,8 @@ def test_scripts(spark):
     assert (got[1]["message_class"], got[1]["alternations"], got[1]["devanagari_share"]) == ("mixed_script", 2, 0.5)
     assert (got[2]["message_class"], got[2]["devanagari_share"], got[2]["is_short"]) == ("no_alphabetic", None, True)
     assert [got[k]["message_class"] for k in (3, 4, 5)] == ["other_script_only", "mixed_script", "latin_only"]
+
+
+def test_numbers_one_character_apart(spark):
+    """The reference looks around a number and uses up no character, so both are masked."""
+    assert values(spark, ["e6405768150e0411590525cf", "5405768150,7411590525"], text.analysis_tokens) == [["e", "<PHONE>", "e", "<PHONE>", "cf"], ["<PHONE>", "<PHONE>"]]
