@@ -246,3 +246,13 @@ def test_ratio_is_rounded_as_a_number(spark):
     rows = spark.createDataFrame([("c", k, ["x"] * n) for k, n in enumerate((29, 11, 11))], "chat string, line_start long, tokens array<string>")
     got = ngrams.ngram_table(rows, 1).first()
     assert (got["count_all"], got["count_unique"], got["repetition_ratio"]) == (51, 40, 1.27)
+
+
+def test_equal_totals_share_a_rank_in_any_order_of_rows(spark):
+    """Two terms with the same 20,000 weights, which come in the opposite order."""
+    row = lambda term, at: spark.range(0, 20000, 1, 1).select(F.lit("all").alias("variant"), F.lit(term).alias("term"), F.lit("latin").alias("script"), F.lit(20000).alias("df"), F.lit(1.0).alias("idf"), (F.sqrt(at + 1) / 150).alias("tfidf_norm"), F.lit(9).alias("rank_in_message"))
+    tops = tfidf.top_terms(row("a", F.col("id")).unionByName(row("b", 19999 - F.col("id"))).coalesce(1))
+    got = {r["term"]: r for r in tops.collect()}
+    assert got["a"]["total_tfidf"] == got["b"]["total_tfidf"] == pytest.approx(math.fsum(math.sqrt(k + 1) / 150 for k in range(20000)), rel=1e-15)
+    assert got["a"]["mean_tfidf_in_docs"] == pytest.approx(got["a"]["total_tfidf"] / 20000)
+    assert [r["rank_all"] for r in tfidf.variant_comparison(tops).collect()] == [1, 1]
